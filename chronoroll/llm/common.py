@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +63,23 @@ class Stash:
             path = self.paths.pop(id(df), None)
             if path:
                 remove(self.spark, path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver has it from; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_chronoroll_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp()) / "chronoroll.zip"  # the driver serves it to executors
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(to))
+    context._chronoroll_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PairTable, Recent
-from .common import documents
+from .common import documents, map_batches
 
 MARK = "▁"
 #: Symbols from here on are characters without a piece, by code point.
@@ -147,7 +147,7 @@ def encode_decode(df: DataFrame, model_path: str | None = None, id_col: str = "d
                 flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(map(own.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    out = map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
