@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op2_language_id
+from .media import op3_media
+from .packing import op5_packing
+from .quality_rules import op6_quality_rules
+from .rule_ensemble import op7_quality_classifier
+from .secret_scan import op4_secrets
 from .sentence_pieces import op1_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece,)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_media, op4_secrets, op5_packing, op6_quality_rules, op7_quality_classifier)}
 SQL: dict[str, str] = {}
