@@ -9,6 +9,13 @@ from .quality_rules import op6_quality_rules
 from .rule_ensemble import op7_quality_classifier
 from .secret_scan import op4_secrets
 from .sentence_pieces import op1_sentencepiece
+from .sharding import op9_sharding
+from .shingle_join import op8_shingle_join
+from .suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_media, op4_secrets, op5_packing, op6_quality_rules, op7_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_language_id, op3_media, op4_secrets, op5_packing, op6_quality_rules, op7_quality_classifier, op8_shingle_join, op9_sharding, op10_suffix_dedup)
+}
+#: None: sentencepiece ids, models, digests of stored forms, spans by offsets and CRC-32 are beyond DuckDB's SQL.
 SQL: dict[str, str] = {}
