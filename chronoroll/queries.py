@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, each with the DuckDB SQL of its result.
 
 Doubles are rounded on both sides, as sums depend on their order: to four decimals, means
-to seven, since means of prices often lie halfway between two values of four decimals.
+to seven and their squares to nine, since means of prices often lie halfway between two values of four decimals.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ SQL: dict[str, str] = {
     "where_not_in_subquery": _sums("event_type", 24, where="WHERE user_id >= 30"),
     "if_error_rate": _sums("user_id", 24, "round(count(CASE WHEN event_type = 'error' THEN 1 END) / count(*), 4) AS error_rate"),
     "if_query": _sums("user_id", 24, _IF("event_type = 'click'", "clicks") + ", " + VAL),
-    "alias_chain": _sums("event_type", 6, "round(sum(value) / count(*), 7) AS per, round((sum(value) / count(*)) * (sum(value) / count(*)), 7) AS squared, round((sum(value) / count(*)) * (sum(value) / count(*)) - sum(value) / count(*), 7) AS diff"),
+    "alias_chain": _sums("event_type", 6, "round(sum(value) / count(*), 7) AS per, round((sum(value) / count(*)) * (sum(value) / count(*)), 9) AS squared, round((sum(value) / count(*)) * (sum(value) / count(*)) - sum(value) / count(*), 9) AS diff"),
     "having_hidden": _sums("event_type", 6, having="HAVING count(value) > 8"),
     "having_and_or": _sums("event_type", 6, f"{VAL}, CAST(count(value) AS DOUBLE) AS n", having="HAVING count(value) > 8 AND sum(value) > 100 OR count(value) = 1"),
     "div_rules": _sums("event_type", 24, "CASE WHEN sum(value) = 0 THEN 0.0 ELSE 1.7976931348623157e308 END AS over_zero, CAST(0 AS DOUBLE) AS zero_over_zero"),
@@ -184,11 +184,11 @@ SQL: dict[str, str] = {
 }
 
 
-MEANS = ("mean", "inner_mean", "bmean", "selfmean", "per", "squared", "diff", "mean_of_sums", "discount")
+DECIMALS = dict.fromkeys(("mean", "inner_mean", "bmean", "selfmean", "per", "mean_of_sums", "discount"), 7) | {"squared": 9, "diff": 9}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(f"`{c}`", 7 if c in MEANS else 4).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    return df.select(*(F.round(f"`{c}`", DECIMALS.get(c, 4)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
