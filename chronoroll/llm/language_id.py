@@ -172,13 +172,15 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> list[tuple[int, float]]:
         """Number of the language (-1: none) and its posterior."""
+        if not self.p.shape[1]:
+            return [(-1, 0.0)] * len(texts)
         words = [words_of(t) for t in texts]
         self.learn_words(set().union(*words))
         get = self.known.young.__getitem__
         out = []
         for text, found in zip(texts, words):
             letters = any(map(str.isalpha, found)) or found and any(map(str.isalpha, text))
-            if not letters or not self.p.shape[1]:
+            if not letters:
                 out.append((-1, 0.0))
                 continue
             total = self.scores[np.fromiter(map(get, found), np.int64, len(found))].sum(0)
