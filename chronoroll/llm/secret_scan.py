@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
+from .common import documents, map_batches, ship
 
 #: Kinds in the order of the report.
 KINDS = ("assign", "access", "hex", "weak", "endpoint")
@@ -119,9 +119,9 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> Dat
 
     Spans that overlap are replaced as one.
     """
-    from pyspark.sql.functions import pandas_udf
+    ship(df.sparkSession)
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(texts):  # type: ignore[no-untyped-def]
         return texts.map(lambda t: _masked(t, mask) if t else t)
 
