@@ -46,12 +46,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.expr("try_validate_utf8(kept)")
     whole = F.when(F.size("removed") == 0, F.decode("kept", "UTF-8")).otherwise(F.coalesce(text, F.regexp_replace(F.expr("make_valid_utf8(kept)"), "�", "")))
     left = kept.select("doc_id", whole.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]"))
-    return _again(docs, left)
+    return _again(docs, left.dropDuplicates(["doc_id"]))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets masked."""
-    return _again(docs, secret_scan.redact(docs.select("doc_id", "text")))
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
