@@ -132,13 +132,19 @@ class Engine:
         now = self.clock(name)
         until = ceil_us(now, table.resolution)
         as_of = ceil_us(until - table.retention, table.resolution)
+        within = None
         if name.lower() in self.stored:
             df = self.stored[name.lower()](q.fresh or self._fresh)
-        else:
-            df = self.rollup(name)
+        else:  # the query's own aggregation merges the states of points: one shuffle, not two
+            s = self._stream(table)
+
+            def within(span: tuple[int, int] | None) -> DataFrame:
+                return rollup(s.df, table, self.dims, s.ts, s.vals, now, self.array_tail_copies, False, span)
+
+            df = within(None)
         states = {c for s in table.slots.values() for c in s.columns}
         dims = [c for c in df.columns if c != TIME and c not in states]
-        return Source(df, dims, table.resolution, as_of, until, table.fields, table.slots, now)
+        return Source(df, dims, table.resolution, as_of, until, table.fields, table.slots, now, within)
 
     _fresh = False
 

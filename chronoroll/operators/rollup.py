@@ -63,11 +63,15 @@ def table_dims(table: TableDef, columns: Iterable[str], ts: str, vals: Iterable[
     return [c for c in columns if c != ts and c not in set(vals)]
 
 
-def rollup(df: DataFrame, table: TableDef, dims: Dimensions, ts: str, vals: list[str], now: int | None, tail_copies: int = 1) -> DataFrame:
+def rollup(df: DataFrame, table: TableDef, dims: Dimensions, ts: str, vals: list[str], now: int | None, tail_copies: int = 1, merged: bool = True, within: tuple[int, int] | None = None) -> DataFrame:
     """``_time``, dimensions and state columns of a table, from points of its stream.
 
     ``now``: microseconds; points older than the retention period are left out, none if it is None.
+    ``merged``: one row per label and dimensions; else one per point, for a query that merges anyway.
+    ``within``: labels wanted, (from, to]; on the table's grid that is a range of timestamps, which the scan can skip by.
     """
+    if within is not None:
+        df = df.where((F.col(ts) > from_micros(F.lit(within[0]))) & (F.col(ts) <= from_micros(F.lit(within[1]))))
     if now is not None:
         oldest = now - table.retention
         if table.backfill is not None:
@@ -89,7 +93,7 @@ def rollup(df: DataFrame, table: TableDef, dims: Dimensions, ts: str, vals: list
         *((dims.column(made[n], df.schema) if n in made else F.col(f"`{n}`")).alias(n) for n in names),
         *states,
     )
-    return merge(rows, table, names)
+    return merge(rows, table, names) if merged else rows
 
 
 def merge(rows: DataFrame, table: TableDef, names: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.timegrid import bucket, ceil_us, from_micros, micros
 from ..operators.rollup import TIME, aggregated
 from ..operators.states import Slot, all_of, combine, logarithm
 from .catalog import HAVING, Grouping, Leaf, grouping, select_fields
-from .fields import POINTS, Agg, Binary, Bounded, Const, Expr, Field, If, Math, Percentile, Raw, Reread, Shift, WeightedMean, fills_gaps, is_constant, when_unset
+from .fields import POINTS, Agg, Binary, Bounded, Const, Expr, Field, If, Math, Percentile, Raw, Reread, Shift, WeightedMean, children, fills_gaps, is_constant, when_unset
 from .parser import In, Name, Node, Op, Query, QueryError, Str, show
 
 #: The most values of a crosstab.
@@ -38,6 +38,8 @@ class Source:
     fields: tuple[Field, ...]
     slots: dict[str, Slot] | None
     now: int
+    #: The rows of a range of labels, where the source can read less than all.
+    within: Callable[[tuple[int, int]], DataFrame] | None = None
 
 
 @dataclass
@@ -77,6 +79,9 @@ class Planner:
         fields, having = select_fields(q, known, self.dims, star)
         if only_points:
             fields = [Field(POINTS, known.get(POINTS, Agg("SUM", Raw(POINTS))))]
+        if src.within and not g.crosstab:  # the values of a crosstab come from all rows
+            shifts = [least_shift(e) for e in [f.expr for f in fields] + ([having] if having is not None else [])]
+            src.df = src.within((as_of + min([0, *shifts]), until))
         steps = [f"source {q.source if isinstance(q.source, str) else 'subquery'}"]
         df = self._where(q, src, steps)
         tab, values = self._crosstab(g, df, src)
@@ -340,6 +345,11 @@ class _Run:
         return own.read([F.col(f"{name}_{i}") for i in range(len(states))], at)
 
 
+def least_shift(e: Expr) -> int:
+    """The farthest that an expression looks back, in microseconds below 0."""
+    return min([0, *map(least_shift, children(e))]) + (min(e.by, 0) if isinstance(e, Shift) else 0)
+
+
 def _conjuncts(node: Node) -> list[Node]:
     if isinstance(node, Op) and node.op == "AND" and node.right is not None:
         return _conjuncts(node.left) + _conjuncts(node.right)
