@@ -35,11 +35,13 @@ class ContinuousTable:
     def take(self, batch: DataFrame, number: int) -> None:
         """Late points are taken into their own period while within the retention period of the latest."""
         table = self.engine.catalog[self.name]
+        batch = batch.persist()  # read by the clock and by each histogram
         latest = batch.agg(F.max(micros(F.col(self.ts)))).first()[0]
         known = self.state().get("latest")
         latest = max([x for x in (latest, known) if x is not None], default=None)
         part = rollup(batch, table, self.engine.dims, self.ts, self.vals, latest)
         part.write.mode("overwrite").parquet(f"{self.path}/delta/batch={number}")
+        batch.unpersist()
         self._write(self.state() | {"latest": latest})
         self.engine._times.pop(self.name.lower(), None)
 
@@ -72,6 +74,21 @@ class ContinuousTable:
             raise ValueError(f"table {self.name} has taken in nothing yet")
         return parts[0] if len(parts) == 1 else self.engine.merged(self.name, *parts)
 
+    def info(self) -> dict:
+        """What is stored: rows compacted and not, columns, and the latest timestamps of either (microseconds)."""
+        s = self.state()
+        new = [self.engine.spark.read.parquet(p) for _, p in self._deltas(s["upto"])]
+        base = self.engine.spark.read.parquet(s["base"]) if s["base"] else None
+        mark = lambda df: df.agg(F.max(micros(F.col(TIME)))).first()[0]
+        return {
+            "columns": (base or new[0]).columns if base or new else [],
+            "base_rows": base.count() if base else 0,
+            "delta_rows": sum(df.count() for df in new),
+            "base_mark": mark(base) if base else None,
+            "delta_mark": max((m for m in map(mark, new) if m is not None), default=None),
+            "latest_point": s["latest"],
+        }
+
     def compact(self) -> None:
         s = self.state()
         new = self._deltas(s["upto"])

@@ -10,6 +10,7 @@ from chronoroll.plans.parser import QueryError
 from chronoroll.sources.points import read_json
 from chronoroll.sources.sinks import text_table, write_csv
 from chronoroll.streaming.continuous import ContinuousTable
+from chronoroll.streaming.metrics import Progress
 
 DATA = "/root/testdata/sf0.001"
 E0 = datetime(2015, 1, 1, 2, 3, 4)
@@ -121,6 +122,8 @@ def test_two_steps_equal_one(spark, tmp_path):
 
 
 def test_continuous_table(spark, tmp_path):
+    progress = Progress()
+    spark.streams.addListener(progress)
     e = Engine(spark)
     e.create_table("t", "SELECT value, AVG(value) AS mean, PERCENTILE(value, 50, 0, 1000, 2) AS p FROM events GROUP BY event_type, period(1h)", "400d")
     src = str(tmp_path / "in")
@@ -132,6 +135,10 @@ def test_continuous_table(spark, tmp_path):
     c.compact()
     spark.createDataFrame([(datetime(2024, 1, 2, 3, 30), "click", 7.0)], events.schema).write.mode("append").parquet(src)
     follow()
+    info = c.info()
+    assert info["base_rows"] > 100 and info["delta_rows"] == 1 and info["delta_mark"] <= info["base_mark"] and "event_type" in info["columns"]
+    assert sum(q["rows"] for q in progress.queries.values()) == 501
+    spark.streams.removeListener(progress)
     before = e.query("SELECT value FROM t GROUP BY _, period(400d)").first()["value"]
     after = e.query("SELECT value FROM t GROUP BY _, period(400d)", fresh=True).first()["value"]
     assert after == pytest.approx(before + 7)
