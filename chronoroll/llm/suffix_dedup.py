@@ -184,15 +184,19 @@ def repeats(df: DataFrame, stash: Stash, length: int = LENGTH) -> DataFrame:
     spark = df.sparkSession
     place = F.struct("doc", "start")
     all_ = stash.put(occurrences(df, length))
-    twice = all_.groupBy("anchor").agg(F.min(place).alias("f"), F.max(place).alias("l"), (F.min("segment") != F.max("segment")).alias("mixed")).where("f <> l").select("anchor", "mixed")
+    twice = all_.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     found = stash.put(all_.join(twice, "anchor"))
     stash.drop(all_)
     settle(spark)
-    earliest = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "start", "n")).alias("e"), F.max(place).alias("l"), F.first("mixed").alias("mixed"))
-    earliest = stash.put(earliest.select("anchor", "segment", "e.doc", "e.start", "e.n", "mixed", (F.struct("e.doc", "e.start") != F.col("l")).alias("again")))
+    earliest = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc", "start", "n")).alias("e"), F.max(place).alias("l"))
+    earliest = stash.put(earliest.select("anchor", "segment", "e.doc", "e.start", "e.n", (F.struct("e.doc", "e.start") != F.col("l")).alias("again")))
+    settle(spark)
     again = earliest.where("again").select("anchor", "segment", F.struct("doc", "start").alias("e"))
-    copies = found.join(again, ["anchor", "segment"]).where(place != F.col("e")).select("doc", "start", "n")
-    parts = df.join(earliest.where("mixed").drop("segment", "again", "mixed"), "doc")
+    copies = stash.put(found.join(again, ["anchor", "segment"]).where(place != F.col("e")).select("doc", "start", "n"))
+    stash.drop(found)
+    settle(spark)
+    mixed = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    parts = df.join(earliest.join(mixed, "anchor").select("anchor", "doc", "start", "n"), "doc")
     segments = parts.select("anchor", "doc", "start", F.expr(f"substring(cast(text AS binary), start + 1, n + {length - 1})").alias("bytes"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = segments.repartition(n, "anchor").sortWithinPartitions("anchor")
