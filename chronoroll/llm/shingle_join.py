@@ -10,7 +10,7 @@ with any member. Only groups whose bound and range of sizes qualify are opened,
 the members are compared with the query exactly.
 
 Copies by the thousand don't make pairs by the million: a first round opens, for each
-token, only one pivot group, and each class's own group. What these links connect needs no
+token, only one pivot group, that of its most central class, and each class's own group. What these links connect needs no
 more. The second round opens the remaining qualifying groups, for classes that are in
 another component than a member. So every component is the true one.
 
@@ -26,6 +26,7 @@ carried along.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Members of a group, and queries that meet it in one task, at most about.
 GROUP, QUERIES = 64, 4096
-#: Tokens of more postings than this are frequent; of those, at most so many are told to all tasks (8 bytes each).
-FREQUENT, TOLD = 24, 1 << 20
+#: Tokens of more postings than this (by hashes alone, which post a fifth of all) are frequent; of those, at most so many are told to all tasks (8 bytes each).
+FREQUENT, TOLD = 2, 1 << 20
 BYTES = 5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,29 +104,35 @@ def _map(df: DataFrame, make, schema: str, id_col: str, text_col: str) -> DataFr
     return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
-def profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def make(b: pa.RecordBatch, _: dict) -> list[pa.Array]:
+def profiles(df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Size, print and group key of each row's set; of each distinct set in a task also its prefix by hashes alone."""
+
+    def make(b: pa.RecordBatch, seen: dict) -> list[pa.Array]:
         sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-        return [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_print, sets), pa.int64()), pa.array(map(group_key, sets), pa.int64())]
+        prints = [set_print(s) for s in sets]
+        first = []
+        for s, p in zip(sets, prints):
+            first.append(None if p in seen else prefix(s, np.zeros(0, np.uint64), percent).view(np.int64))
+            seen[p] = None
+        return [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array(map(group_key, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))]
 
-    return _map(df, make, f"id {df.schema[id_col].dataType.simpleString()}, n long, print long, gkey long", id_col, text_col)
+    return _map(df, make, f"id {df.schema[id_col].dataType.simpleString()}, n long, print long, gkey long, tokens array<long>", id_col, text_col)
 
 
 def postings(df: DataFrame, frequent: np.ndarray, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """token, print, n of each distinct set in a task."""
+    """token and print of each distinct set in a task."""
 
     def make(b: pa.RecordBatch, seen: dict) -> list[pa.Array]:
-        tokens, prints, sizes, lens = [], [], [], []
+        tokens, prints = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for t in b.column(1).to_pylist():
             s = shingle_set(t)
             if len(s) and (p := set_print(s)) not in seen:
                 seen[p] = None
                 tokens.append(prefix(s, frequent, percent))
-                prints.append(p), sizes.append(len(s)), lens.append(len(tokens[-1]))
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        return [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(prints, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int64), lens))]
+                prints.append(np.full(len(tokens[-1]), p, np.int64))
+        return [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(prints))]
 
-    return _map(df, make, "token long, print long, n long", id_col, text_col)
+    return _map(df, make, "token long, print long", id_col, text_col)
 
 
 def packed_sets(df: DataFrame) -> DataFrame:
@@ -165,6 +172,7 @@ def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
     needed = inside.select("print").union(opened.select(F.col("query").alias("print"))).distinct()
     reps = members.join(needed, "print", "left_semi").select("print", F.col("rep").alias("id"))
     sets = stash.put(packed_sets(docs.join(reps, "id").select("print", "text")))
+    settle(docs.sparkSession)
     rows = inside.select("gid", F.lit(0).alias("role"), "print", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = opened.join(load, "gid").select("gid", F.lit(1).alias("role"), F.col("query").alias("print"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"))
     full = rows.unionByName(asked).join(sets, "print")
@@ -198,6 +206,7 @@ def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
 
     links = stash.put(map_batches(met.select("gid", "part", "role", "print", "tokens"), run, "a long, b long"))
     stash.drop(sets, load)
+    settle(docs.sparkSession)
     return links
 
 
@@ -205,22 +214,29 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     """``id_col``, ``n_shingles``, ``component_id``: the smallest id that links reach."""
     stash = Stash(spark, "shingles")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = stash.put(profiles(df, id_col, text_col))
+    wide = stash.put(profiles(df, percent, id_col, text_col))
+    counts = wide.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    told = counts.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(TOLD).select("token").toPandas()["token"]
+    frequent = np.sort(told.to_numpy(np.int64).view(np.uint64))
+    own = stash.put(wide.drop("tokens"))
+    stash.drop(wide)
+    settle(spark)
     classes = own.where("n > 0").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first("gkey").alias("gkey"))
     crowd = classes.groupBy("gkey").agg(F.count(F.lit(1)).alias("c"))
     parts = F.ceil(F.col("c") / GROUP)
     members = stash.put(classes.join(crowd, "gkey").select("print", "n", "rep", F.xxhash64("gkey", F.pmod(F.xxhash64("print"), parts)).alias("gid"), "c"))
-
-    counts = postings(df, np.zeros(0, np.uint64), percent, id_col, text_col).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    told = counts.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(TOLD).select("token").toPandas()["token"]
-    frequent = np.sort(told.to_numpy(np.int64).view(np.uint64))
     raw = stash.put(postings(df, frequent, percent, id_col, text_col))
-    settle(spark)
-    # Tokens of one set alone link nothing.
-    shared = raw.groupBy("token").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("token")
-    matrix = stash.put(raw.join(shared, "token").distinct().join(members.select("print", "gid"), "print"))
+    # A token that is posted once links nothing; copies in several tasks post theirs again, which does no harm.
+    shared = raw.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    narrow = stash.put(raw.join(shared, "token"))
     stash.drop(raw)
     settle(spark)
+    # A class is central if many others post its tokens: the text that others were made from is, its copies less so.
+    central = narrow.groupBy("print").agg(F.sum("c").alias("central"))
+    placed = members.select("print", "n", "gid").join(central, "print")
+    matrix = stash.put(narrow.join(placed, "print").select("token", "print", "n", "gid", "central"))
+    stash.drop(narrow)
+    settle(spark)
 
     sizes = members.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
@@ -228,13 +244,12 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
         fits = (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100)
         return pairs.join(sizes, "gid").where(fits).select("query", "gid")
 
-    pivot = matrix.groupBy("token").agg(F.min("gid").alias("pivot"), F.max("gid").alias("last")).where("pivot <> last").select("token", "pivot")
+    pivot = matrix.groupBy("token").agg(F.max_by("gid", F.struct("central", "gid")).alias("pivot"), F.min("gid").alias("x"), F.max("gid").alias("y")).where("x <> y").select("token", "pivot")
     near = matrix.join(pivot, "token").where("gid <> pivot").select(F.col("print").alias("query"), "n", F.col("pivot").alias("gid")).distinct()
     at_home = members.where("c > 1").select(F.col("print").alias("query"), "gid")
     first = stash.put(qualifying(near).unionByName(at_home))
     links = verify(first, members, docs, stash, percent)
     comp = stash.put(components(links, stash))
-    settle(spark)
 
     # Round two: tokens that still join components. For each pair, classes of the smaller side ask.
     label = matrix.join(comp, matrix["print"] == comp["node"], "left").select("token", "print", "n", "gid", F.coalesce("comp", "print").alias("comp"))
@@ -261,6 +276,7 @@ def settle(spark: SparkSession) -> None:
     """Let go of shuffles that nothing uses any more; else they lie on disk until the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
