@@ -12,7 +12,11 @@ the members are compared with the query exactly.
 Copies by the thousand don't make pairs by the million: a first round opens, for each
 token, only one pivot group, that of its most central class, and each class's own group. What these links connect needs no
 more. The second round opens the remaining qualifying groups, for classes that are in
-another component than a member. So every component is the true one.
+another component than a member. Of crowded classes, which would meet many more others than they have
+tokens, all tokens are counted: one that a single crowded class has can't be shared among
+them, so what is left of a set bounds the overlaps and thereby the sizes of crowded sets
+that it can link with. Many copies just below the threshold are told apart by this, not
+pair by pair. So every component is the true one.
 
 Tokens are 64-bit hashes; sets are compared on 40 of those bits, which are all distinct within
 a pair but for about one pair of tokens in 10^6 documents.
@@ -42,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 GROUP, QUERIES = 64, 4096
 #: Tokens of more postings than this (by hashes alone, which post a fifth of all) are frequent; of those, at most so many are told to all tasks (8 bytes each).
 FREQUENT, TOLD = 2, 1 << 20
+#: A class is crowded if its tokens are held so many times as often as it has tokens; any value gives the same result.
+CROWDED = 4
 BYTES = 5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,6 +166,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def reach(classes: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
+    """print, hi: the largest set that each class can link with, among ``classes`` (print).
+
+    Of ``n`` tokens let others have ``v`` too; no overlap is above ``v``, so a partner has at most
+    ``v (100 + percent) / percent - n`` tokens.
+    """
+
+    def make(b: pa.RecordBatch, _: dict) -> list[pa.Array]:
+        sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        return [pa.array(flat), pa.array(np.repeat(b.column(0).to_numpy(), [len(s) for s in sets]))]
+
+    reps = members.join(classes, "print", "left_semi").select("print", F.col("rep").alias("id"))
+    tokens = stash.put(_map(docs.join(reps, "id").select("print", "text"), make, "token long, print long", "print", "text"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    v = tokens.join(shared, "token", "left_semi").groupBy("print").agg(F.count(F.lit(1)).alias("v"))
+    hi = F.floor(F.col("v") * (100 + percent) / percent) - F.col("n")
+    out = stash.put(members.select("print", "n").join(v, "print").select("print", hi.alias("hi")))
+    stash.drop(tokens)
+    settle(docs.sparkSession)
+    return out
+
+
 def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
     """Links (a, b) of the queries and members of opened groups, as few as connect the same.
 
@@ -252,15 +281,19 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     comp = stash.put(components(links, stash))
 
     # Round two: tokens that still join components. For each pair, classes of the smaller side ask.
+    # Crowded classes meet only where each side's size is within the other's reach.
     label = matrix.join(comp, matrix["print"] == comp["node"], "left").select("token", "print", "n", "gid", F.coalesce("comp", "print").alias("comp"))
-    open_ = label.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    label = stash.put(label.join(open_, "token"))
+    open_ = label.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("token", "c")
+    every = stash.put(label.join(open_, "token"))
+    crowded = every.groupBy("print", "n").agg(F.sum("c").alias("c")).where(F.col("c") > F.col("n") * CROWDED).select("print")
+    can = reach(crowded, members, docs, stash, percent)
+    label = every.drop("c").join(can, "print", "left")
     weight = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("w"))
     top = weight.groupBy("token").agg(F.max(F.struct("w", "comp")).alias("top"))
     side = label.join(weight, ["token", "comp"])
-    asks = side.join(top, "token").where(F.struct("w", "comp") < F.col("top")).select("token", F.col("print").alias("query"), "n", F.struct("w", "comp").alias("mine"))
-    holds = side.select("token", "gid", F.struct("w", "comp").alias("theirs")).distinct()
-    pairs = asks.join(holds, "token").where("mine < theirs").select("query", "n", "gid").distinct()
+    asks = side.join(top, "token").where(F.struct("w", "comp") < F.col("top")).select("token", F.col("print").alias("query"), "n", "hi", F.struct("w", "comp").alias("mine"))
+    holds = side.groupBy("token", "gid", F.struct("w", "comp").alias("theirs"), F.isnull("hi").alias("free")).agg(F.min("n").alias("from_n"), F.max("hi").alias("to_n"))
+    pairs = asks.join(holds, "token").where("mine < theirs AND (free OR hi IS NULL OR from_n <= hi AND n <= to_n)").select("query", "n", "gid").distinct()
     second = stash.put(qualifying(pairs).join(first, ["query", "gid"], "left_anti"))
     more = verify(second, members, docs, stash, percent)
     whole = components(links.union(more), stash)

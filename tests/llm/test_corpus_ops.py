@@ -89,6 +89,7 @@ def test_shingle_join(spark, table, seed, monkeypatch):
         monkeypatch.setattr(shingle_join, "GROUP", 4)
         monkeypatch.setattr(shingle_join, "QUERIES", 5)
         monkeypatch.setattr(shingle_join, "FREQUENT", 3)
+        monkeypatch.setattr(shingle_join, "CROWDED", 0.5)
     texts = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(spark, table(texts)).collect()}
     assert got == classes(list(enumerate(texts)))
