@@ -37,8 +37,8 @@ def _either(words: str) -> str:
 ASSIGN = re.compile(f"({_either('password|passwd|secret|token|api_?key')})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
-#: A word's worth of key material, and places where keys are used.
-WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: A word's worth of key material, and places where keys are used. '=' may stand before a key (name=key) and pad its end, but is never inside.
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/?=&%-]*)?")
 BREAK = re.compile(r"\n[ \t]*\n")
 REACH = 400
