@@ -5,8 +5,9 @@ prove nothing alone: a *weak* candidate (a token that could be a key) is reporte
 when a complementary part stands in its scope, an access identifier or an assignment,
 and an endpoint only when it stands with an access identifier, an assignment or a reported weak
 candidate. A scope is a paragraph, or ``REACH`` characters either way within it. Parts are linked by an interval
-join on sorted positions: per candidate one binary search for the nearest
-partners, so work is n log n in the parts of a text, never pairs.
+join on sorted positions and running maxima of ends: per candidate one binary search for the truly nearest
+partners, so work is n log n in the parts of a text, never pairs. An endpoint doesn't complement a weak
+candidate: without an assignment or access identifier neither is reported.
 
 Defined results: a null or empty text has no spans; offsets count code points; the end is
 exclusive; rows with equal texts have equal spans; an empty table gives an empty table;
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,40 +58,47 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def _near(at: Span, partners: list[Span], starts: list[int], breaks: list[int]) -> bool:
-    """Whether a partner that starts before or after lies in the scope of ``at``."""
-    k = bisect_left(starts, at[1])
-    for p in partners[max(0, k - 1) : k + 1]:
-        gap = (min(at[2], p[2]), max(at[1], p[1]))
-        if gap[1] - gap[0] <= REACH and bisect_left(breaks, gap[0]) == bisect_left(breaks, gap[1]):
-            return True
-    return False
+class Placed:
+    """Spans by start, with the furthest end among those up to each."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [s[1] for s in spans]
+        self.ends = list(accumulate((s[2] for s in spans), max))
+
+    def overlap(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def near(self, a: int, b: int, breaks: list[int]) -> bool:
+        """Whether a span lies in the scope of ``a`` to ``b``.
+
+        Of those that start before, the one with the furthest end has the narrowest gap, and of the others the first.
+        """
+        k = bisect_left(self.starts, a)
+        gaps = []
+        if k > 0:
+            gaps.append((self.ends[k - 1], a))
+        if k < len(self.starts):
+            gaps.append((b, self.starts[k]))
+        return any(x >= y or (y - x <= REACH and bisect_left(breaks, x) == bisect_left(breaks, y)) for x, y in gaps)
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates and endpoints whose complementary parts co-occur."""
-    anchors = sorted((s for s in base if s[0] != "hex"), key=lambda s: s[1])
+    anchors = [s for s in base if s[0] != "hex"]
     if not anchors:
         return []
     breaks = [m.start() for m in BREAK.finditer(text)]
-    starts = [s[1] for s in anchors]
-    taken = sorted((s[1], s[2]) for s in base)
-    begins = [s[0] for s in taken]
-
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(begins, b)
-        return not any(e > a for _, e in taken[max(0, k - 2) : k])
-
+    proofs, taken = Placed(anchors), Placed(base)
     weak = []
     for m in WEAK.finditer(text):
-        word, span = m[0], ("weak", *m.span())
+        word, span = m[0], m.span()
         mixed = any(c.isdigit() for c in word) and any(c.isupper() for c in word) and any(c.islower() for c in word)
-        if mixed and free(*span[1:]) and _near(span, anchors, starts, breaks):
-            weak.append(span)
-    parts = sorted(anchors + weak, key=lambda s: s[1])
-    starts = [s[1] for s in parts]
-    ends = [s for m in ENDPOINT.finditer(text) if _near(s := ("endpoint", *m.span()), parts, starts, breaks)]
-    return weak + ends
+        if mixed and not taken.overlap(*span) and proofs.near(*span, breaks):
+            weak.append(("weak", *span))
+    parts = Placed(anchors + weak)
+    return weak + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if parts.near(*m.span(), breaks)]
 
 
 def join_spans(spans: list[Span]) -> str:
