@@ -3,7 +3,9 @@
 The ids are those of the tokenizers library. Texts of Latin letters, figures and signs
 are cut into words by an equal pattern, and every distinct word is encoded once, by
 blocks of agendas (``bpe.PairTable``). Other texts are cut at white space, which no
-token holds, and every distinct cut that has other characters goes to the library.
+token holds, and every distinct cut that has other characters goes to the library. A text that
+holds the string of an added token (such as an end mark) goes to the library as a whole, which
+takes that string for the token, as it does by default.
 """
 
 from __future__ import annotations
@@ -33,9 +35,12 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, added = whole["model"], [t["content"] for t in whole.get("added_tokens") or []]
+        #: Texts that hold an added token's string, in any case: more than the library matches, never less.
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE).search
+        self.lead = re.match("[ -@[-`{-~]*", os.path.commonprefix(added))[0]  # in no case other than its own, and fast to look for
         vocab = model["vocab"]
         pairs = {}
         for rank, merge in enumerate(model["merges"]):
@@ -78,12 +83,15 @@ class WordCodec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        special = [k for k, t in enumerate(texts) if t and self.lead in t and self.special(t)]
+        whole = dict(zip(special, self.library.encode_batch([texts[k] for k in special], add_special_tokens=False)))
+        texts = [None if k in whole else t for k, t in enumerate(texts)]
         plain = [t is None or PLAIN.fullmatch(t) is not None for t in texts]
         cuts = [(self.find(t.lower()) if p else t.encode().split()) if t else [] for t, p in zip(texts, plain)]  # bytes split at ASCII white space only
         self.learn(set().union(*(c for c, p in zip(cuts, plain) if not p)))
         self.learn_words(set().union(*(c for c, p in zip(cuts, plain) if p)))
         get = (self.known.young.__getitem__, self.words.young.__getitem__)
-        return [b"".join(map(get[p], c)) for c, p in zip(cuts, plain)]
+        return [np.array(whole[k].ids, "<u4").tobytes() if k in whole else b"".join(map(get[p], c)) for k, (c, p) in enumerate(zip(cuts, plain))]
 
 
 @functools.lru_cache(2)

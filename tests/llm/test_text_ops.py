@@ -40,6 +40,16 @@ def test_word_tokens_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
 
 
+def test_strings_of_added_tokens_count_as_the_untouched_library_counts_them():
+    from tokenizers import Tokenizer
+
+    path = word_tokens.default_vocabulary()
+    texts = ["a <|endoftext|> b", "A<|startoftext|>B <|ENDOFTEXT|>", "日本<|endoftext|>語 x", "<|endoftext|>", "a <|endoftext| > b", "é <|EndOfText|>", "plain words"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in word_tokens.WordCodec(path).encode(texts)]
+    assert got == want and got[0] == [320, 49407, 321]
+
+
 def test_plan_is_best_fit():
     for _ in range(60):
         cap = random.choice([7, 20, 64])
