@@ -3,7 +3,8 @@
 ``STAGES`` are written and reread one after another; all but the last return the columns of
 ``documents``. The order: low quality goes, one document of each group of near
 duplicates stays, bytes that repeat an earlier passage go, secrets are masked, and what is
-left is packed into sequences.
+left is packed into sequences. Each row is a document of its own: rows with null or repeated ids are
+judged by their own texts, and no stage drops or multiplies them for their ids.
 """
 
 from __future__ import annotations
@@ -13,45 +14,53 @@ from pyspark.sql import functions as F
 
 from chronoroll.llm import packing, rule_ensemble, secret_scan, shingle_join, suffix_dedup
 from chronoroll.llm.common import Stash, documents
+from chronoroll.llm.text_stats import with_statistics
 
 #: SQL can't express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def _again(docs: DataFrame, text: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``text`` and ``n_chars`` as they are now."""
-    rest = docs.drop("text")
-    out = rest.join(text, "doc_id").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``: a key of each row in the order of ids, null ids last, whatever ids are null or repeat."""
+    by = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    return Stash(spark, "keyed").put(docs.orderBy(*by).withColumn("row", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; empty texts are rejected like any other."""
-    scored = rule_ensemble.classify(spark, docs, documents(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_semi")
+    """Documents that the classifier does not reject, row by row; empty texts are rejected like any other."""
+    labels = documents(spark, sf_dir, "labels").where(rule_ensemble.remainder(5) != 0)
+    model = rule_ensemble.fit(with_statistics(docs.join(labels.select("doc_id"), "doc_id", "left_semi")), labels)
+    stats = with_statistics(docs.select(F.struct(*docs.columns).alias("whole"), "text"), "whole")
+    return rule_ensemble.scored(stats, model).where("predicted = 1").select("whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one of the smallest id."""
-    linked = shingle_join.join(spark, docs)
-    return docs.join(linked.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    """Of each group of linked documents, the one row of the smallest id; a null id only where no other is linked."""
+    rows = _keyed(spark, docs)
+    linked = shingle_join.join(spark, rows, id_col="row")
+    return rows.join(linked.where("row = component_id").select("row"), "row", "left_semi").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat an earlier passage; a character that is cut goes as a whole.
 
-    Documents of which nothing but white space is left go.
+    Rows are documents, whatever their ids. Those of which bytes went and nothing but white space is left go; the others stay.
     """
-    kept = suffix_dedup.dedup(spark, docs)
+    rows = _keyed(spark, docs)
+    kept = suffix_dedup.dedup(spark, rows, id_col="row")
     text = F.expr("try_validate_utf8(kept)")
-    whole = F.when(F.size("removed") == 0, F.decode("kept", "UTF-8")).otherwise(F.coalesce(text, F.regexp_replace(F.expr("make_valid_utf8(kept)"), "�", "")))
-    left = kept.select("doc_id", whole.alias("text")).where(F.col("text").rlike(r"[^ \t-\r]"))
-    return _again(docs, left.dropDuplicates(["doc_id"]))
+    cut = F.coalesce(text, F.regexp_replace(F.expr("make_valid_utf8(kept)"), "�", ""))
+    whole = F.size("removed") == 0
+    left = kept.select("row", whole.alias("whole"), F.when(whole, F.decode("kept", "UTF-8")).otherwise(cut).alias("text"))
+    left = left.where(F.col("whole") | F.col("text").rlike(r"[^ \t-\r]"))
+    out = rows.withColumn("none", F.col("text").isNull()).drop("text").join(left, "row")
+    out = out.withColumn("text", F.when(~F.col("none"), F.col("text")))
+    return out.withColumn("n_chars", F.when(F.col("none"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets masked."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

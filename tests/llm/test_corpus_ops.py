@@ -237,3 +237,25 @@ def test_pipeline_on_odd_rows(spark, table):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, DATA)
         rows.collect()
+
+
+def test_pipeline_takes_rows_with_null_and_repeated_ids_one_by_one(spark):
+    base = corpus_pipeline.documents(spark, DATA)
+    stays = {r.doc_id for r in corpus_pipeline.quality(spark, base, DATA).collect()}
+    rows = base.where("text IS NOT NULL").orderBy("doc_id").collect()
+    a, b, c = [r for r in rows if r.doc_id in stays and len(r.text.split()) > 30][:3]
+    junk = next(r for r in rows if r.doc_id not in stays)
+    row = lambda i, t: (i, t, "en", "s", len(t or ""))
+    make = lambda *rows: spark.createDataFrame(rows, base.schema)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    want = lambda *rows: sorted(rows, key=repr)
+    docs = make(row(None, a.text), row(None, junk.text), row(-7, b.text), row(-7, junk.text))
+    kept = corpus_pipeline.quality(spark, base.unionByName(docs), DATA)
+    assert texts(kept.where("doc_id IS NULL OR doc_id < 0")) == want((None, a.text), (-7, b.text)) and kept.where("doc_id >= 0").count() == len(stays)
+    docs = make(row(None, a.text), row(None, b.text), row(7, b.text), row(7, b.text), row(7, c.text), row(8, c.text), row(9, None))
+    assert texts(corpus_pipeline.near_duplicates(spark, docs, DATA)) == want((None, a.text), (7, b.text), (7, c.text), (9, None))
+    long = "".join(chr(97 + k * k % 23) + str(k) for k in range(90))
+    docs = make(row(None, "x" + long), row(7, long), row(7, long), row(8, "other " + long + " end"), row(8, None), row(9, " "), row(10, ""))
+    out = corpus_pipeline.passages(spark, docs, DATA)
+    assert texts(out) == want((7, long), (8, "other  end"), (8, None), (9, " "), (10, ""), (None, "x"))
+    assert {r.text: r.n_chars for r in out.collect()} == {t: len(t or "") for t in (long, "other  end", None, " ", "", "x")}
