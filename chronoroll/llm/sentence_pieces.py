@@ -5,7 +5,7 @@ line ends, and between letters and the signs that no piece joins to them. Every
 pairs ordered by score (``bpe.PairTable``) and then taken from a bounded cache. Of the
 new cuts of an Arrow batch, those whose checksum is divisible by ``check_every`` (1:
 all, 0: none) are also encoded by the sentencepiece library in one call; should the
-two differ, the library's ids are used.
+two differ, the library's ids are used and the number of such cuts is logged.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 characters outside the vocabulary become byte pieces; U+2581 is a word mark like
@@ -16,6 +16,7 @@ Columns other than the id and the text are not carried along, so their names can
 from __future__ import annotations
 
 import functools
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ CACHE, ROWS = 400_000, 1000
 class Codec:
     """A merge-type SentencePiece model: tables for the agenda, and the library beside it."""
 
-    def __init__(self, model_path: str, check_every: int = 8) -> None:
+    def __init__(self, model_path: str, check_every: int = 1) -> None:
         import sentencepiece
 
         self.library, self.check_every = sentencepiece.SentencePieceProcessor(model_file=model_path), check_every
@@ -74,7 +75,7 @@ class Codec:
         for i in range(n):
             if lib.is_control(i):
                 self.bytes_of[i] = b""
-        self.known = Recent(CACHE)
+        self.known, self.mended = Recent(CACHE), 0
 
     def agenda(self, cuts: list[str]) -> list[bytes]:
         """Ids of each cut as little-endian 32-bit integers."""
@@ -99,9 +100,14 @@ class Codec:
         own = self.agenda(new)
         if self.check_every:
             some = [k for k, c in enumerate(new) if self.check_every == 1 or zlib.crc32(c.encode()) % self.check_every == 0]
+            mended = 0
             for k, ids in zip(some, self.by_library([new[k] for k in some])):
                 if own[k] != (right := np.array(ids, "<i4").tobytes()):
                     own[k] = right
+                    mended += 1
+            if mended:
+                self.mended += mended
+                logging.getLogger(__name__).warning("%d of %d cuts differ from the library, whose ids are used", mended, len(some))
         self.known.young.update(zip(new, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -121,7 +127,7 @@ class Codec:
 
 
 @functools.lru_cache(2)
-def codec(model_path: str, check_every: int = 8) -> Codec:
+def codec(model_path: str, check_every: int = 1) -> Codec:
     return Codec(model_path, check_every)
 
 
@@ -131,7 +137,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_decode(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check_every: int = 8) -> DataFrame:
+def encode_decode(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check_every: int = 1) -> DataFrame:
     """``id_col``, ``ids array<int>``, ``decoded string`` for every row; no shuffle."""
     path = model_path or default_model()
     kind = df.schema[id_col].dataType.simpleString()

@@ -33,6 +33,17 @@ def test_the_check_mends_an_agenda_that_is_wrong():
     assert np.frombuffer(codec.encode(["hello there"])[0], "<i4").tolist() == codec.library.encode("hello there")
 
 
+def test_every_cut_is_checked_by_default_and_mismatches_are_counted(caplog):
+    codec = sentence_pieces.codec(sentence_pieces.default_model())
+    own, codec.agenda = codec.agenda, lambda cuts: [b"" for _ in cuts]
+    texts = ["these quaint unseen words", "are all checked, every one"]
+    try:
+        got = [np.frombuffer(x, "<i4").tolist() for x in codec.encode(texts)]
+    finally:
+        codec.agenda = own
+    assert got == codec.library.encode(texts) and codec.mended >= 8 and "differ from the library" in caplog.text
+
+
 def test_word_tokens_equal_the_library():
     codec = word_tokens.WordCodec(word_tokens.default_vocabulary())
     texts = [t or "" for t in ODD + NOISE]
