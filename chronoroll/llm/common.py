@@ -18,11 +18,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests on one machine) is a local
-    folder made, and set on the context so that later calls agree.
+    Only on a local master, where all run on one machine, is a folder made if the session
+    names none; it is set on the context so that later calls agree. Elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoroll-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -38,17 +40,28 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Folders of tables that results of this session may still read.
+_roots: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables; for when no result of the operators is read any more."""
+    while _roots:
+        remove(spark, _roots.pop())
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage.
 
     ``put`` writes and rereads a table, so that a lost executor costs a task
     and never the stages before it; ``drop`` deletes one that nothing
-    lazy depends on any more.
+    lazy depends on any more, and ``clear`` what is left when results have been read.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, new_folder(spark, name), 0
         self.paths: dict[int, str] = {}
+        _roots.append(self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language_id import op2_language_id
 from .media import op3_media
+from .oracles import OP9
 from .packing import op5_packing
 from .quality_rules import op6_quality_rules
 from .rule_ensemble import op7_quality_classifier
@@ -17,5 +18,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_sentencepiece, op2_language_id, op3_media, op4_secrets, op5_packing, op6_quality_rules, op7_quality_classifier, op8_shingle_join, op9_sharding, op10_suffix_dedup)
 }
-#: None: sentencepiece ids, models, digests of stored forms, spans by offsets and CRC-32 are beyond DuckDB's SQL.
-SQL: dict[str, str] = {}
+#: sentencepiece and BPE ids, models, digests of stored forms and spans by look-around are beyond DuckDB's SQL.
+SQL: dict[str, str] = {"op9_sharding": OP9}

@@ -1,29 +1,37 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations alone.
 
 Rows of each source are shuffled by a seeded hash and ranked; a row's fractional rank is
-its rank within its source over the source's size. Sorted by fractional rank, every source is spread
-evenly over the whole order, which is cut into shards whose sizes differ by one row at
-most; so every shard has the mixture of the whole.
+its rank within its source, less a phase of the source's own between 0 and 1, over the source's size. Sorted by
+fractional rank, every source is spread evenly over the whole order, and sources of a row or two lie all over it by their
+phases. The order is cut into shards whose sizes differ by one row at most; so every shard has the mixture of the whole.
 
-Ranks are never counted in one task per source: a hash deals each source to small buckets,
+Ranks are never counted in one task per source: the leading bits of the hash deal each source to small buckets,
 the counts of the buckets are summed before, and a row's rank is its number in its
 bucket plus that sum. The order by fractional rank is cut in the same way.
 
 Defined results: a null source is a source of its own; a null text has no bytes; rows
-with equal ids or texts are dealt each by itself; an empty table gives an empty table;
-columns other than the id, the text and the source are not carried along.
+with equal ids or texts are dealt each by itself, null ids like any other; texts of any length cost their bytes and a
+checksum only; an empty table gives an empty table; columns other than the id, the text and the source are not
+carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stash, documents
 
 SHARDS, SEED = 24, 17
-#: Rows of a bucket, about, and the most buckets.
-BUCKET, BUCKETS = 2000, 1 << 16
+#: Rows of a bucket, about, and the fewest and most bits that buckets are told apart by.
+BUCKET, FEWEST, MOST = 2000, 6, 16
+#: Bits of a hash, and of a phase.
+BITS, PHASE = 60, 20
+
+
+def hashed(*parts: Column) -> Column:
+    """A number of 60 bits; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, BITS // 4), 16, 10).cast("long")
 
 
 def _before(counts: DataFrame, order: str, *by: str) -> DataFrame:
@@ -41,20 +49,21 @@ def interleave(spark: SparkSession, df: DataFrame, shards: int = SHARDS, seed: i
         F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col).cast("string"))).alias("source"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("at"),
+        hashed(F.lit(seed), F.col(id_col)).alias("at"),
     ))
     total = rows.count()
-    buckets = max(64, min(BUCKETS, total // BUCKET))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "at"), F.lit(buckets)))
+    bits = min(MOST, max(FEWEST, (total // BUCKET).bit_length()))
+    rows = rows.withColumn("bucket", F.shiftright("at", BITS - bits))
     counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     of_source = counts.groupBy("source").agg(F.sum("n").alias("all"))
     base = _before(counts, "bucket", "source").join(of_source, "source").select("source", "bucket", "before", "all")
     own = Window.partitionBy("source", "bucket").orderBy("at", "id", "text_crc32", "size")
     ranked = rows.withColumn("k", F.row_number().over(own)).join(base, ["source", "bucket"])
-    share = (F.col("before") + F.col("k") - 0.5) / F.col("all")
-    ranked = stash.put(ranked.select("id", "source", "size", "text_crc32", share.alias("share"), F.xxhash64("source").alias("tie"), F.floor(share * buckets).alias("slice")))
+    phase = (F.pmod(hashed(F.lit(seed), F.col("source")), F.lit(1 << PHASE)) + 0.5) / float(1 << PHASE)
+    share = (F.col("before") + F.col("k") - phase) / F.col("all")
+    ranked = stash.put(ranked.select("id", "source", "size", "text_crc32", share.alias("share"), F.floor(share * (1 << bits)).alias("slice")))
     slices = _before(ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice").select("slice", "before")
-    order = Window.partitionBy("slice").orderBy("share", "tie", "source")
+    order = Window.partitionBy("slice").orderBy("share", "source")
     placed = ranked.withColumn("k", F.row_number().over(order)).join(slices, "slice").withColumn("place", F.col("before") + F.col("k") - 1)
     cut = placed.withColumn("shard", F.expr(f"cast((place * {shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * cast({total} as bigint) + {shards - 1}) div {shards}")
