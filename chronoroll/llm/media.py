@@ -1,15 +1,19 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored once in its task's tar shard as an 8-bit greyscale PNG of 64
+A payload is stored in its task's tar shard as an 8-bit greyscale PNG of 64
 samples a line, under the digest of its stored form. A row carries that digest, the
-shard, and the offset and length of the stored bytes. Shards are written under the
-shared folder with a name of their own attempt and then renamed, so a task that runs again
+shard, and the offset and length of the stored bytes. Payloads are written where their texts lie, so
+no text is shuffled; a task stores equal payloads once. Where several tasks have stored the same digest, one place (the least)
+is chosen for it and all rows of the digest point there; shards that nothing points to, such as those of failed
+attempts, are deleted. Copies inside shards that are otherwise in use stay as unused bytes, at most one a task and digest.
+
+Shards are written under the shared folder with a name of their own attempt and then renamed, so a task that runs again
 never meets a half-written file. Metadata columns come from a range read of the
 file's first 33 bytes, features from a range read of the whole file.
 
-Defined results: a null or empty text is 64 bytes 0; rows with equal texts have equal
-digests and features, and share one stored copy in their shard; an empty table gives an
-empty table and no shards; columns other than the id and the text are not carried along.
+Defined results: a null or empty text is 64 bytes 0; rows with equal texts have equal values in all columns but the id, shard and
+offset among them; ids may be null or repeat; texts of any length are one payload; an empty table gives an
+empty table and no shards; columns other than the id and the text are not carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -150,6 +154,32 @@ def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     return out.withColumnRenamed("id", id_col)
 
 
+def addressed(rows: DataFrame) -> DataFrame:
+    """One place per digest: the least of those where tasks have stored it.
+
+    Rows are joined by the place that their task gave them, which no other task's rows share, so a payload that a third of
+    all rows hold makes no hot key.
+    """
+    place = F.struct("shard", "offset")
+    places = rows.select("digest", "shard", "offset").distinct()
+    least = places.groupBy("digest").agg(F.min(place).alias("to"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "to")
+    moved = places.join(least, "digest").where(place != F.col("to")).select("shard", "offset", "to")
+    found = rows.join(moved, ["shard", "offset"], "left")
+    return found.select(*(F.coalesce(f"to.{c}", c).alias(c) if c in ("shard", "offset") else F.col(c) for c in rows.columns))
+
+
+def sweep(rows: DataFrame, folder: str) -> int:
+    """Delete files of the folder that no row points to; their number. One name per shard reaches the driver."""
+    from pyarrow import fs
+
+    store_, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+    used = {r[0] for r in rows.select("shard").distinct().collect()}
+    stray = [f.path for f in store_.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path not in used]
+    for path in stray:
+        store_.delete_file(path)
+    return len(stray)
+
+
 def _ranges(folder: str, rows: list[tuple[str, int, int]], limit: int | None) -> Iterator[bytes]:
     """The bytes of each range, at most ``limit`` of each; one file is open at a time."""
     from pyarrow import fs
@@ -205,6 +235,8 @@ def read_back(rows: DataFrame, folder: str) -> DataFrame:
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "media")
-    rows = Stash(spark, "media-rows").put(store(documents(spark, sf_dir), folder))
+    stash = Stash(spark, "media-rows")
+    rows = stash.put(addressed(stash.put(store(documents(spark, sf_dir), folder))))
+    sweep(rows, folder)
     out = read_back(metadata(rows, folder), folder)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "offset", "width", "height", "bits")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "bits")
