@@ -1,17 +1,17 @@
 """Secret scans with multipart credential linking.
 
 Base spans are what three patterns find. The method adds parts of credentials that
-prove nothing alone: a *weak* candidate (a token that could be a key) is reported only
-when a complementary part stands in its scope, an access identifier or an assignment,
-and an endpoint only when it stands with an access identifier, an assignment or a reported weak
-candidate. A scope is a paragraph, or ``REACH`` characters either way within it. Parts are linked by an interval
+prove nothing alone and is strict about kinds. An *identifier* says whose credential it is: an access identifier, or an
+assignment that holds one. A *secret* is an assignment or a weak candidate, a token that could be a key. An *endpoint*
+says where it is used. A weak candidate is reported only when an identifier stands in its scope; a second secret beside it,
+or an endpoint, doesn't complement it. An endpoint is reported only when it stands with an identifier or with a secret that is
+itself reported. A scope is a paragraph, or ``REACH`` characters either way within it. Parts are linked by an interval
 join on sorted positions and running maxima of ends: per candidate one binary search for the truly nearest
-partners, so work is n log n in the parts of a text, never pairs. An endpoint doesn't complement a weak
-candidate: without an assignment or access identifier neither is reported.
+partners, so work is n log n in the parts of a text, never pairs.
 
-Defined results: a null or empty text has no spans; offsets count code points; the end is
-exclusive; rows with equal texts have equal spans; an empty table gives an empty table;
-columns other than the id and the text are not carried along.
+Defined results: a null or empty text has no spans; texts of any length are scanned whole; offsets count code points; the
+end is exclusive; rows with equal texts have equal spans, whatever their ids; an empty table gives an empty table;
+columns other than the id and the text are not carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -86,18 +86,19 @@ class Placed:
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates and endpoints whose complementary parts co-occur."""
-    anchors = [s for s in base if s[0] != "hex"]
-    if not anchors:
+    proofs = [s for s in base if s[0] != "hex"]
+    if not proofs:
         return []
     breaks = [m.start() for m in BREAK.finditer(text)]
-    proofs, taken = Placed(anchors), Placed(base)
+    access = Placed([s for s in proofs if s[0] == "access"])
+    owners, taken = Placed([s for s in proofs if s[0] == "access" or access.overlap(*s[1:])]), Placed(base)
     weak = []
-    for m in WEAK.finditer(text):
+    for m in WEAK.finditer(text) if owners.starts else ():
         word, span = m[0], m.span()
         mixed = any(c.isdigit() for c in word) and any(c.isupper() for c in word) and any(c.islower() for c in word)
-        if mixed and not taken.overlap(*span) and proofs.near(*span, breaks):
+        if mixed and not taken.overlap(*span) and owners.near(*span, breaks):
             weak.append(("weak", *span))
-    parts = Placed(anchors + weak)
+    parts = Placed(proofs + weak)
     return weak + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text) if parts.near(*m.span(), breaks)]
 
 
