@@ -7,7 +7,9 @@ compiled into one Spark column, so scoring is a projection in whole-stage code.
 
 Defined results: a null or empty text is scored by its statistics, which are all 0;
 labels of null count as none; without any labels every score is 0.5; rows with equal texts
-have equal scores; an empty table gives an empty table.
+have equal scores, whatever their ids; a row of a repeated id is learned from with each of its labels; texts of any length are
+read whole; an empty table gives an empty table; columns other than the id and the text are not carried along,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -120,8 +122,10 @@ def remainder(n: int, id_col: str = "doc_id") -> Column:
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """``labels``: doc_id and quality of the rows to learn from."""
     known = labels.where("quality IS NOT NULL").select("doc_id", "quality")
-    rows = stats.join(sample_by_hash(known, sample), "doc_id").select("doc_id", "quality", *NAMES).orderBy("doc_id").collect()
-    return RuleModel(matrix(rows, NAMES), np.array([float(r["quality"]) for r in rows]))
+    rows = stats.join(sample_by_hash(known, sample, ["doc_id"], seed=8), "doc_id").select("quality", *NAMES).collect()
+    x, y = matrix(rows, NAMES), np.array([float(r["quality"]) for r in rows])
+    by = np.lexsort((*x.T, y))  # the order in which rows come doesn't matter
+    return RuleModel(x[by], y[by])
 
 
 def scored(stats: DataFrame, model: RuleModel, cut: float = 0.3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Statistics of whole texts, one row of numbers per document, in Arrow batches.
 
 Words are runs of anything but ASCII white space, lines are split at line ends. A null
-or empty text has no words, and every ratio of it is 0.
+or empty text has no words, and every ratio of it is 0. Texts of any length are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -112,9 +112,7 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("id", id_col)
 
 
-def sample_by_hash(df: DataFrame, most: int, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """A sample of about ``most`` rows at most that depends on ids alone, so reruns agree."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def sample_by_hash(df: DataFrame, most: int, by: list[str], seed: int = 7) -> DataFrame:
+    """About ``most`` rows, all if there are no more, by hashes of the columns ``by`` alone, so reruns agree."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30)) < int(share * (1 << 30)))

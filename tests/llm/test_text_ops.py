@@ -13,6 +13,7 @@ from llm_data import ODD
 
 from chronoroll.llm import language_id, media, packing, quality_rules, rule_ensemble, secret_scan, sentence_pieces, text_stats, word_tokens
 
+DATA = "/root/testdata/sf0.001"
 random.seed(5)
 NOISE = ["".join(random.choice(" \nab▁'éthein<s>0xΣ1\t　,.!") for _ in range(random.randint(1, 80))) for _ in range(300)]
 
@@ -27,6 +28,17 @@ def test_sentence_pieces_equal_the_library(table):
         assert got[k].ids == ids and got[k].decoded == lib.decode(ids)
 
 
+def test_op1_on_the_tables(spark):
+    lib = sentence_pieces.codec(sentence_pieces.default_model(), 0).library
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = {r.doc_id: tuple(r)[1:4] for r in sentence_pieces.op1_sentencepiece(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in docs:
+        ids = lib.encode(r.text or "")
+        assert got[r.doc_id] == (len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids)))
+    assert len(got) == len(docs)
+
+
 def test_the_check_mends_an_agenda_that_is_wrong():
     codec = sentence_pieces.Codec(sentence_pieces.default_model(), check_every=1)
     codec.agenda = lambda cuts: [b"" for _ in cuts]
@@ -107,6 +119,27 @@ def test_packing(spark, table):
     assert packing.pack(spark, table([])).count() == 0
 
 
+def test_op5_on_the_tables(spark):
+    codec = word_tokens.word_codec(word_tokens.default_vocabulary())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = packing.op5_packing(spark, DATA).collect()
+    ids = {i: np.array([*codec.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in docs.items()}
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(
+        (i, k, k * 4096, len(x[k * 4096 :][:4096]), zlib.crc32(x[k * 4096 :][:4096].tobytes())) for i, x in ids.items() for k in range(-(-len(x) // 4096))
+    )
+    ends, free = {}, []
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096
+    for n in sorted((r.length for r in rows), reverse=True):  # plain best fit over the pieces
+        fits = [f for f in free if f >= n]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else 4096) - n)
+    assert len(free) == len(ends)
+
+
 def test_media(spark, table, tmp_path):
     texts = ODD + ["y" * 64, "z" * 128]
     folder = f"file://{tmp_path}/shards"
@@ -129,6 +162,37 @@ def test_media(spark, table, tmp_path):
         media.read_header(io.BytesIO(b"x" * 40).read())
 
 
+def test_copies_in_many_tasks_have_one_place(spark, table, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    docs = table(["same"] * 40 + ["a", None, "", "b" * 500] * 3, ids=[None if k == 5 else k // 2 for k in range(52)]).repartition(6)
+    rows = media.store(docs, folder)
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.where(f"digest = '{rows.first().digest}'").select("shard").distinct().count() > 1
+    (tmp_path / "shards" / "left-by-a-failed-attempt.tar.part").write_bytes(b"x")
+    one = media.addressed(rows).cache()
+    assert one.count() == 52 and one.select("digest", "shard", "offset", "length").distinct().count() == one.select("digest").distinct().count() == 4
+    assert media.sweep(one, folder) >= 1
+    out = media.read_back(media.metadata(one, folder), folder).collect()
+    assert all(r.media_sha256 == r.digest for r in out)
+
+
+def test_op3_on_the_tables(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = media.op3_media(spark, DATA).collect()
+    assert len(out) == len(docs)
+    by = {}
+    for r in out:
+        raw = (docs[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        with open(r.shard, "rb") as f:
+            f.seek(r.offset)
+            stored = f.read(r.media_bytes)
+        assert hashlib.sha256(stored).hexdigest() == r.media_sha256 == r.digest and media.features(payload) == r.feature
+        assert by.setdefault(raw, tuple(r)[1:]) == tuple(r)[1:]
+
+
 SECRETS = [
     "password=short secret: 'longenough1' then TOKEN = abcdefgh",
     "secret=token: abcdefghij apikey:\"12345678\" Api_Key  =  zz.zz/zz+",
@@ -192,8 +256,9 @@ def plain_links(text, base):
         return any(y - x <= 400 and not any(x <= k < y for k in breaks) for x, y in gaps)
 
     anchors = [s for s in base if s[0] != "hex"]
+    owners = [s for s in anchors if s[0] == "access" or any(q > s[1] and p < s[2] for k, p, q in base if k == "access")]
     weak = [("weak", *m.span()) for m in secret_scan.WEAK.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
-    weak = [s for s in weak if not any(p < s[2] and q > s[1] for _, p, q in base) and near(*s[1:], anchors)]
+    weak = [s for s in weak if not any(p < s[2] and q > s[1] for _, p, q in base) and near(*s[1:], owners)]
     return weak + [("endpoint", *m.span()) for m in secret_scan.ENDPOINT.finditer(text) if near(*m.span(), anchors + weak)]
 
 
@@ -203,6 +268,10 @@ def test_the_nearest_end_decides_what_is_linked():
         base = secret_scan.base_spans(text)
         assert {s[0] for s in base} == {"assign", "access"}
         assert [s[0] for s in secret_scan.linked_spans(text, base)] == kinds
+    # a long assignment of the identifier reaches to the key behind it; without an identifier two secrets prove nothing
+    for name, kinds in (("AKIA", ["weak"]), ("BKIA", [])):
+        text = f"secret={name}0123456789ABCDEF/" + "x" * 470 + " ; " + KEY
+        assert [s[0] for s in secret_scan.linked_spans(text, secret_scan.base_spans(text))] == kinds
     # a candidate inside an assignment that more than two later spans follow is taken
     base = [("assign", 0, 90), ("access", 2, 4), ("access", 5, 7), ("access", 8, 10)]
     assert secret_scan.linked_spans("." * 40 + KEY + "." * 20, base) == []
@@ -220,6 +289,20 @@ def test_links_equal_brute_force():
     assert linked > 400
 
 
+def test_op4_on_the_tables(spark, table, tmp_path):
+    own = table(ODD + SECRETS + [f"{s}\n{KEY} https://a.b/c" for s in SECRETS], ids=range(10**6, 10**6 + len(ODD) + 2 * len(SECRETS)))
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(own.columns).unionByName(own).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in secret_scan.op4_secrets(spark, str(tmp_path)).collect()}
+    order = secret_scan.KINDS
+    for r in docs:
+        base = plain_spans(r.text or "")
+        text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order.index(s[0]))))
+        counts = [sum(s[0] == k for s in base) for k in order[:3]]
+        assert got[r.doc_id] == (*counts, hashlib.sha256(text(base).encode()).hexdigest(), text(base + plain_links(r.text or "", base)))
+    assert any(g[0] for g in got.values()) and any(g[1] for g in got.values()) and len(got) == len(docs)
+
+
 def plain_repeats(words):
     grams = {}
     for k in range(len(words) - 4):
@@ -243,18 +326,58 @@ def test_forest_finds_what_stands_apart(spark, table):
     forest = quality_rules.Forest(x)
     assert forest.anomaly(np.full((1, 4), 8.0))[0] > np.quantile(forest.anomaly(x), 0.999)
     good, bad = forest.anomaly(x), forest.anomaly(rng.normal(size=(50, 4)) + 6)
-    cut = quality_rules.calibrate(good, bad)
+    steps = np.unique(np.append(good, bad))
+    of = lambda y: np.array([(y == v).sum() for v in steps], float)
+    cut = quality_rules.calibrate(steps[::-1], of(good)[::-1], of(bad)[::-1])
     assert (good > cut).mean() <= 0.01 and (bad > cut).mean() > 0.8
-    assert quality_rules.calibrate(np.zeros(0), bad) == float("inf")
+    worth = {v: (bad > v).mean() - quality_rules.WEIGHT * (good > v).mean() for v in good if (good > v).mean() <= 0.01}
+    assert worth[cut] == pytest.approx(max(worth.values()))
+    assert quality_rules.calibrate(steps, 0 * of(good), of(bad)) == float("inf")
     assert not quality_rules.Forest(np.zeros((0, 4))).anomaly(np.zeros((2, 4))).any()
     labels = spark.createDataFrame([(8, 1, 0), (12, 1, 0), (13, None, 0)], "doc_id long, quality int, toxic int")
     for docs in (table(ODD), table([])):
-        stats = text_stats.with_statistics(docs).cache()
-        out = quality_rules.verdicts(stats, *quality_rules.fit(stats, labels)).collect()
+        out = quality_rules.rules(spark, docs, labels).collect()
         assert len(out) == docs.count() and not any(r.kept for r in out if r.base_failed)
         assert all(r.base_failed for r in out if r.n_words < 10)
 
 
+def path_length(forest, root, x):
+    """Down one tree, node by node."""
+    k = root
+    while forest.left[k] != k:
+        k = forest.left[k] if x[forest.feature[k]] <= forest.split[k] else forest.right[k]
+    return forest.path[k]
+
+
+def test_op6_on_the_tables(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = {r.doc_id: r for r in quality_rules.op6_quality_rules(spark, d).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert out.keys() == docs.keys()
+    stats = text_stats.with_statistics(spark.read.parquet(f"{d}/documents.parquet")).cache()
+    forest = quality_rules.grown(stats)
+    rows = {r.doc_id: [r[c] for c in quality_rules.USED] for r in stats.collect()}
+    assert len(forest.roots) == quality_rules.TREES
+    anomaly = {}
+    for i, t in docs.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        repeat = plain_repeats(words)
+        r = out[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), repeat)
+        assert r.base_failed == (len(words) < 10 or 100 * repeat > 20 * len(words))
+        mean = np.mean([path_length(forest, root, rows[i]) for root in forest.roots])
+        anomaly[i] = 2.0 ** (-mean / forest.norm)
+        assert 0 <= r.anomaly - anomaly[i] < 1.001 / quality_rules.GRID
+    known = [r for r in out.values() if not r.base_failed and labels.get(r.doc_id) is not None]
+    good = np.array([r.anomaly for r in known if labels[r.doc_id] == 1])
+    bad = np.array([r.anomaly for r in known if labels[r.doc_id] != 1])
+    worth = {v: (bad > v).mean() - quality_rules.WEIGHT * (good > v).mean() for v in sorted(set(good)) if (good > v).mean() <= quality_rules.LOSS}
+    cut = max(worth, key=lambda v: (worth[v], -v))
+    assert all(r.kept == (not r.base_failed and r.anomaly <= cut) for r in out.values())
+
+
 def test_rules(spark, table):
     rng = np.random.default_rng(1)
     x = rng.uniform(size=(2000, len(rule_ensemble.NAMES)))
@@ -270,6 +393,23 @@ def test_rules(spark, table):
     assert rule_ensemble.classify(spark, table([]), labels).count() == 0
 
 
+def test_extra_columns_and_ids_of_any_kind_do_not_clash(spark, table, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ("id", "n", "spans", "kind", "start", "score", "digest", "shard", "offset", "length", "ids", "decoded", "anomaly", "kept", "quality", "good", "n_words", "log_words", "lang_pred", "predicted", "to", "c")
+    plain = table(ODD, ids=[None if k == 3 else k // 2 for k in range(len(ODD))])
+    wide = plain.select("*", *(F.lit("x").alias(c) for c in names))
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = language_id.fit(wide.withColumn("lang", F.lit("en")))
+    same = lambda make: sorted(map(repr, make(wide).collect())) == sorted(map(repr, make(plain).collect()))
+    assert same(sentence_pieces.encode_decode) and same(secret_scan.scan) and same(lambda d: language_id.predict(d, model))
+    assert same(lambda d: quality_rules.rules(spark, d, labels)) and same(lambda d: rule_ensemble.classify(spark, d, labels))
+    assert same(lambda d: media.read_back(media.addressed(media.store(d, f"file://{tmp_path}/s")), f"file://{tmp_path}/s").select("doc_id", "n_bytes", "media_sha256", "feature"))
+    named = plain.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    for make in (sentence_pieces.encode_decode, secret_scan.scan, lambda d: language_id.predict(d, model)):
+        assert {r.doc_id for r in make(named).collect()} == {None, *(f"k{k // 2}" for k in range(len(ODD)))}
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     out = rule_ensemble.op7_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
@@ -299,13 +439,59 @@ def plain_probability(pieces, word, p):
     return total(0)
 
 
+def plain_log_probabilities(pieces, word, p):
+    """The forward sum in logarithms, place by place."""
+    step = {(key >> 21, key & ((1 << 21) - 1)): to for key, to in zip(pieces.keys[:-1].tolist(), pieces.to[:-1].tolist())}
+    into = [[] for _ in range(len(word) + 1)]
+    into[0].append(np.zeros(p.shape[1]))
+    for at in range(len(word)):
+        here, node, single = np.logaddexp.reduce(into[at], 0), 0, False
+        for end in range(at, len(word)):
+            node = step.get((node, ord(word[end])))
+            if node is None:
+                break
+            if pieces.piece[node]:
+                into[end + 1].append(here + np.log(p[pieces.piece[node]]))
+                single |= end == at
+        if not single:
+            into[at + 1].append(here + np.log(p[0]))
+    return np.logaddexp.reduce(into[-1], 0)
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.pieces_of(language_id.default_model())
     p = np.random.default_rng(2).uniform(1e-4, 1e-2, size=(pieces.n, 2))
     for word in ("▁the", "▁thererea", "▁日本x", "▁q"):
         codes = np.array([[ord(c) for c in word]])
-        got = language_id.forward(pieces, codes, p)[0, -1]
-        assert np.allclose(got, [plain_probability(pieces, word, p[:, k]) for k in range(2)])
+        got = language_id.Scorer(pieces, p).log_probability(codes)[0]
+        assert np.allclose(np.exp(got), [plain_probability(pieces, word, p[:, k]) for k in range(2)])
+        assert np.allclose(got, plain_log_probabilities(pieces, word, p))
+
+
+def test_long_words_are_summed_whole():
+    pieces = language_id.pieces_of(language_id.default_model())
+    rng = random.Random(8)
+    p = np.random.default_rng(4).uniform(1e-8, 1e-3, size=(pieces.n, 3))
+    run = "".join(rng.choices("etaoinshrdlu", k=5000))
+    for word in (run, run[:101], run[:100], "日本語" * 200, "q" * 300):
+        want = plain_log_probabilities(pieces, language_id.MARK + word, p)
+        codes = np.array([[ord(c) for c in language_id.MARK + word]] * 2)
+        assert np.allclose(language_id.Scorer(pieces, p).log_probability(codes), want)
+        best, score = language_id.Scorer(pieces, p).predict([word])[0]
+        assert best == want.argmax() and score == pytest.approx(1 / np.exp(want - want.max()).sum())
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    """Forward and backward sums agree at every place, however long the word is."""
+    pieces = language_id.pieces_of(language_id.default_model())
+    p = np.random.default_rng(6).uniform(1e-8, 1e-3, size=(pieces.n, 1))
+    codes = np.array([[ord(c) for c in language_id.MARK + "thequickbrown" * 60]])
+    edges = list(pieces.edges(codes))
+    (alpha, up), (beta, down) = language_id.forward(pieces, codes, p, edges), language_id.backward(pieces, codes, p, edges)
+    total = np.log(alpha[0, -1, 0]) + up[0, -1, 0]
+    through = sum(float((alpha[0, a, 0] * p[piece[0], 0] * beta[0, b, 0]) * np.exp(up[0, a, 0] + down[0, b, 0] - total)) * (b - a) for a, b, _, piece in edges)
+    assert through == pytest.approx(codes.shape[1])  # every character is in exactly one piece
+    assert np.log(beta[0, 0, 0]) + down[0, 0, 0] == pytest.approx(total)
 
 
 def test_language_id(spark, table):
