@@ -98,13 +98,13 @@ class Engine:
         table = self.catalog[name]
         if name.lower() not in self._times:
             if name.lower() in self.stored:
-                latest = self.stored[name.lower()](True).agg(F.max(micros(F.col(TIME)))).first()[0]
+                latest = self.stored[name.lower()](True).agg(F.max(TIME).alias("at")).select(micros(F.col("at"))).first()[0]
             else:
                 s = self._stream(table)
                 df = s.df
                 if table.where is not None:
                     df = df.where(F.coalesce(self.dims.column(table.where, df.schema), F.lit(False)))
-                latest = df.agg(F.max(micros(F.col(s.ts)))).first()[0]
+                latest = df.agg(F.max(F.col(s.ts)).alias("at")).select(micros(F.col("at"))).first()[0]
             self._times[name.lower()] = latest if latest is not None else 0
         return self._times[name.lower()]
 

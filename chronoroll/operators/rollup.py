@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,22 +39,36 @@ def spread_arrays(df: DataFrame, vals: Iterable[str], tail_copies: int = 1) -> D
     return df.select(*rest_of, F.explode(F.concat(*points)).alias("__point")).select(*rest_of, *(F.col("__point")[v].alias(v) for v in vals))
 
 
-def aggregated(df: DataFrame, keys: list[str], plain: list[Column], histograms: dict[str, Column]) -> DataFrame:
-    """Group by ``keys``. Histograms (of buckets, or of maps to merge) are counted per bucket first, so
-    a group is never gathered as a list of points, and joined to the rest."""
-    out = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("__rows")]))
-    for name, c in histograms.items():
-        some = df.select(*keys, c.alias("__h")).where("__h IS NOT NULL")
-        if isinstance(some.schema["__h"].dataType, T.MapType):
-            some = some.select(*keys, F.explode("__h").alias("__k", "__n"))
-        else:
-            some = some.select(*keys, F.col("__h").alias("__k"), F.lit(1).cast("long").alias("__n"))
-        counted = some.groupBy(*keys, "__k").agg(F.sum("__n").alias("__n"))
-        mapped = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__n"))).alias(name))
-        mapped = mapped.select(*(F.col(k).alias(f"__j{n}") for n, k in enumerate(keys)), name)
-        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__j{n}")) for n, k in enumerate(keys)]
-        out = out.join(mapped, on, "left").drop(*(f"__j{n}" for n in range(len(keys))))
-    return out
+def aggregated(df: DataFrame, keys: list[str], plain: dict[str, str], histograms: list[str]) -> DataFrame:
+    """Group by ``keys``, reading ``df`` once. ``plain``: columns and how each is merged; ``histograms``: columns of buckets, or of maps to merge.
+
+    Histograms are counted per bucket first, so a group is never gathered as a list of points; plain columns are merged
+    partially along with them, then by keys alone.
+    """
+    how = lambda: [getattr(F, kind)(c).alias(c) for c, kind in plain.items()]
+    if not histograms:
+        return df.groupBy(*keys).agg(*(how() or [F.count(F.lit(1)).alias("__rows")]))
+    kinds = {f.name: f.dataType for f in df.schema}
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in plain}
+    of = lambda slot, bucket, n, rest: F.struct(F.lit(slot).alias("__slot"), bucket.cast("long").alias("__k"), n.cast("long").alias("__n"), *rest)
+    if len(histograms) == 1 and not isinstance(kinds[histograms[0]], T.MapType):
+        h = F.col(histograms[0])
+        long = df.select(*keys, F.lit(0).alias("__slot"), h.alias("__k"), F.when(h.isNotNull(), 1).cast("long").alias("__n"), *plain)
+    else:
+        entries_of = lambda slot: lambda e: of(slot, e["key"], e["value"], none.values())
+        whole = F.array(of(0, F.lit(None), F.lit(None), [F.col(c) for c in plain]))
+        empty = F.slice(whole, 1, 0)
+        for slot, name in enumerate(histograms):
+            if isinstance(kinds[name], T.MapType):
+                found = F.coalesce(F.transform(F.map_entries(name), entries_of(slot)), empty)
+            else:
+                found = F.when(F.col(name).isNotNull(), F.array(of(slot, F.col(name), F.lit(1), none.values()))).otherwise(empty)
+            whole = F.concat(whole, found)
+        long = df.select(*keys, F.explode(whole).alias("__p")).select(*keys, "__p.*")
+    counted = long.groupBy(*keys, "__slot", "__k").agg(*how(), F.sum("__n").alias("__n"))
+    entry = lambda slot: F.when((F.col("__slot") == slot) & F.col("__n").isNotNull(), F.struct("__k", "__n"))
+    listed = counted.groupBy(*keys).agg(*how(), *(F.collect_list(entry(slot)).alias(name) for slot, name in enumerate(histograms)))
+    return listed.select(*keys, *plain, *(F.when(F.size(name) > 0, F.map_from_entries(name)).alias(name) for name in histograms))
 
 
 def table_dims(table: TableDef, columns: Iterable[str], ts: str, vals: Iterable[str]) -> list[str]:
@@ -98,12 +112,6 @@ def rollup(df: DataFrame, table: TableDef, dims: Dimensions, ts: str, vals: list
 
 def merge(rows: DataFrame, table: TableDef, names: list[str]) -> DataFrame:
     """States merged by label and dimensions: for points as for partial rollups."""
-    plain, histograms = [], {}
-    for slot in table.slots.values():
-        cols = [F.col(c) for c in slot.columns]
-        if slot.is_histogram:
-            histograms[slot.name] = cols[0]
-        else:
-            plain += [a.alias(c) for a, c in zip(slot.merge(cols), slot.columns)]
-    out = aggregated(rows, [TIME, *names], plain, histograms)
+    plain = {c: slot.how for slot in table.slots.values() if not slot.is_histogram for c in slot.columns}
+    out = aggregated(rows, [TIME, *names], plain, [slot.name for slot in table.slots.values() if slot.is_histogram])
     return out.select(TIME, *(f"`{n}`" for n in names), *(c for s in table.slots.values() for c in s.columns))

@@ -80,11 +80,10 @@ class Slot:
             return [F.when(x.isNotNull(), bucket_of(self.agg, x))]
         return [F.when(x.isNotNull(), F.lit(1.0)) if self.agg.kind == "COUNT" else x]
 
-    def merge(self, states: list[Column]) -> list[Column]:
-        """Aggregates over states; histograms are merged by ``histograms`` instead."""
-        if isinstance(self.agg, Agg) and self.agg.kind in ("MIN", "MAX"):
-            return [F.min(states[0]) if self.agg.kind == "MIN" else F.max(states[0])]
-        return [F.sum(s) for s in states]
+    @property
+    def how(self) -> str:
+        """How the columns of states are merged; histograms are summed per bucket instead."""
+        return self.agg.kind.lower() if isinstance(self.agg, Agg) and self.agg.kind in ("MIN", "MAX") else "sum"
 
     def read(self, states: list[Column], at: float | None = None) -> Column:
         """The value of a state, null if unset."""
@@ -117,12 +116,19 @@ def bucket_of(p: Percentile, x: Column) -> Column:
 
 
 def quantile(p: Percentile, histogram: Column, at: float) -> Column:
-    """The first bucket at which the running count reaches the rank, scaled back."""
-    entries = F.array_sort(F.map_entries(histogram))
-    total = F.aggregate(entries, F.lit(0).cast("long"), lambda n, e: n + e["value"])
+    """The first bucket at which the running count reaches the rank, scaled back.
+
+    The rank is part of the walk's start, as what stands inside its step is computed anew for every bucket.
+    """
+    total = F.aggregate(F.map_values(histogram), F.lit(0).cast("long"), lambda n, x: n + x)
     rank = F.greatest(F.floor(total * (at / 100.0) + 0.5), F.lit(1)).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("v"))
-    walk = F.aggregate(entries, start, lambda s, e: F.struct((s["n"] + e["value"]).alias("n"), F.when(s["v"].isNotNull(), s["v"]).when(s["n"] + e["value"] >= rank, e["key"]).alias("v")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), rank.alias("rank"), F.lit(None).cast("long").alias("v"))
+
+    def step(s: Column, e: Column) -> Column:
+        n = s["n"] + e["value"]
+        return F.struct(n.alias("n"), s["rank"].alias("rank"), F.when(s["v"].isNotNull(), s["v"]).when(n >= s["rank"], e["key"]).alias("v"))
+
+    walk = F.aggregate(F.sort_array(F.map_entries(histogram)), start, step)
     return F.when(histogram.isNotNull(), walk["v"] / F.lit(10.0**p.precision))
 
 

@@ -1,9 +1,10 @@
 """From a query to one lazy DataFrame.
 
 A source is a rollup (states are merged) or a subquery (its rows are points). Over both the
-plan is the same: filter, time range, copies for shifts, stride, coarser label, one
+plan is the same: filter, time range, stride, coarser label, one
 aggregation by label and dimensions with every aggregate under its conditions, and
-then arithmetic, HAVING, order and limits as projections and filters.
+then arithmetic, HAVING, order and limits as projections and filters. Where aggregates are shifted, rows
+are merged by their own labels first, and only then copied once per distinct shift.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import Dimensions
@@ -61,6 +62,11 @@ class Use:
     states: list[Column]
     conds: list[Column]
     shift: int
+    base: tuple
+
+    def columns(self, name: str) -> list[Column]:
+        cond = all_of(self.conds)
+        return [(F.when(cond, s) if cond is not None else s).alias(f"{name}_{i}") for i, s in enumerate(self.states)]
 
 
 class Planner:
@@ -87,24 +93,32 @@ class Planner:
         tab, values = self._crosstab(g, df, src)
         run = _Run(self.dims, src, df)
         outputs = self._outputs(fields, having, g, tab, values, run)
-        df = self._in_time(df, run, src, as_of, until)
+        df = self._in_time(df, src, as_of + min([0, *run.shifts]), until)
         steps.append(f"time range ({as_of}, {until}]")
+        names = self._keys(g, src)
+        keys = {n: self.dims.column(node, src.df.select(*src.dims).schema).alias(n) for n, node in names}
+        if run.shifts:
+            steps.append("merge by period")
+            df, keys = self._merged(df, keys, run), {n: F.col(f"`{n}`") for n in keys}
+            copies = F.explode(F.array(*(F.lit(d).cast("long") for d in sorted({0, *run.shifts}))))
+            df = df.withColumn("__d", copies).withColumn("__us", F.col("__us") - F.col("__d"))
+            df = df.where((F.col("__us") > as_of) & (F.col("__us") <= until))
+            steps.append(f"copies for {len(run.shifts)} shifts")
         if slice_ is not None and res > src.resolution:
             back = (F.lit(until) - F.col("__us")) % F.lit(res)
             df = df.where(back < F.lit(slice_))
             steps.append(f"slices of {slice_} in strides of {res}")
-        names = self._keys(g, src)
-        keys = {n: self.dims.column(node, src.df.select(*src.dims).schema).alias(n) for n, node in names}
-        columns, plain, histograms = [], [], {}
-        for k, (use, name) in enumerate(run.uses.values()):
-            cond = all_of([*use.conds, F.col("__d") == use.shift] if run.shifts else use.conds)
-            made = [F.when(cond, s) if cond is not None else s for s in use.states]
+        columns, plain, histograms = [], {}, []
+        for use, name in run.uses.values():
+            made = use.columns(name)
+            if run.shifts:
+                made = [F.when(F.col("__d") == use.shift, F.col(c)) for c in run.before(use)]
             own = [f"{name}_{i}" for i in range(len(made))]
             columns += [m.alias(o) for m, o in zip(made, own)]
             if use.slot.is_histogram:
-                histograms[own[0]] = F.col(own[0])
+                histograms += own
             else:
-                plain += [a.alias(o) for a, o in zip(use.slot.merge([F.col(o) for o in own]), own)]
+                plain |= dict.fromkeys(own, use.slot.how)
         shaped = df.select(bucket(F.col("__us"), until, res).alias("__b"), *keys.values(), *columns)
         out = aggregated(shaped, ["__b", *keys], plain, histograms)
         steps.append(f"group by {['period', *keys]}")
@@ -227,15 +241,22 @@ class Planner:
             out.append((Field(HAVING, having), run.value(having)))
         return out
 
-    def _in_time(self, df: DataFrame, run: _Run, src: Source, as_of: int, until: int) -> DataFrame:
-        """Rows of the range, by the raw column so that scans can skip; copies where aggregates are shifted."""
-        low = as_of + min([0, *run.shifts])
-        df = df.where((F.col(TIME) > from_micros(F.lit(low))) & (F.col(TIME) <= from_micros(F.lit(until)))).withColumn("__us", micros(F.col(TIME)))
-        if not run.shifts:
-            return df
-        copies = F.explode(F.array(*(F.lit(d).cast("long") for d in sorted({0, *run.shifts}))))
-        df = df.withColumn("__d", copies).withColumn("__us", F.col("__us") - F.col("__d"))
-        return df.where((F.col("__us") > as_of) & (F.col("__us") <= until))
+    def _in_time(self, df: DataFrame, src: Source, low: int, until: int) -> DataFrame:
+        """Rows of the range, by the raw column so that scans can skip."""
+        return df.where((F.col(TIME) > from_micros(F.lit(low))) & (F.col(TIME) <= from_micros(F.lit(until)))).withColumn("__us", micros(F.col(TIME)))
+
+    def _merged(self, df: DataFrame, keys: dict[str, Column], run: _Run) -> DataFrame:
+        """One row per label and keys before any is copied for a shift: states that differ by their shift alone are merged once."""
+        columns, plain, histograms = [], {}, []
+        for use, name in run.bases.values():
+            made = use.columns(name)
+            columns += made
+            own = [f"{name}_{i}" for i in range(len(made))]
+            if use.slot.is_histogram:
+                histograms += own
+            else:
+                plain |= dict.fromkeys(own, use.slot.how)
+        return aggregated(df.select("__us", *keys.values(), *columns), ["__us", *keys], plain, histograms)
 
     def _keys(self, g: Grouping, src: Source) -> list[tuple[str, Node]]:
         named = dict(g.dims)
@@ -253,12 +274,12 @@ class Planner:
         return having is None or when_unset(having) == 1.0
 
     def _filled(self, df: DataFrame, keys: list[str], res: int) -> DataFrame:
-        """A row for every period between a key's first and last."""
-        spans = df.groupBy(*keys).agg(F.min("__b").alias("lo"), F.max("__b").alias("hi"))
-        grid = spans.select(*(F.col(k).alias(f"__g{n}") for n, k in enumerate(keys)), F.explode(F.sequence("lo", "hi", F.lit(res))).alias("__gb"))
-        on = [F.col(k).eqNullSafe(F.col(f"__g{n}")) for n, k in enumerate(keys)] + [F.col("__b") == F.col("__gb")]
-        joined = grid.join(df, on, "left")
-        return joined.select(F.col("__gb").alias("__b"), *(F.col(f"__g{n}").alias(k) for n, k in enumerate(keys)), *(c for c in df.columns if c != "__b" and c not in keys))
+        """A row for every period between a key's first and last: each row is followed by the empty ones up to the key's next."""
+        after = F.lead("__b").over(Window.partitionBy(*keys).orderBy("__b"))
+        rest = [c for c in df.columns if c != "__b" and c not in keys]
+        last = F.coalesce(F.col("__next") - F.lit(res), F.col("__b"))
+        spread = df.withColumn("__next", after).select(*keys, F.posexplode(F.sequence("__b", last, F.lit(res))).alias("__pos", "__at"), *rest)
+        return spread.select(F.col("__at").alias("__b"), *keys, *(F.when(F.col("__pos") == 0, F.col(c)).alias(c) for c in rest))
 
     def _flat(self, df: DataFrame, keys: list[str], outputs: list[tuple[Field, Column]]) -> DataFrame:
         named = [c.alias(f"__o{k}") for k, (_, c) in enumerate(outputs)]
@@ -292,6 +313,8 @@ class _Run:
         self.tops = {str(f.expr) for f in src.fields}
         self.raws = {f.name: F.col(f"`{f.name}`") for f in src.fields} if src.slots is None else {}
         self.uses: dict[tuple, tuple[Use, str]] = {}
+        #: One of the uses that differ by their shift alone, for what is merged before rows are copied.
+        self.bases: dict[tuple, tuple[Use, str]] = {}
         self.shifts: set[int] = set()
 
     def value(self, e: Expr, conds: tuple[Column, ...] = (), where: str = "", stored: tuple[Node, ...] | None = None, shift: int = 0) -> Column:
@@ -323,6 +346,10 @@ class _Run:
                 return self._aggregate(e, conds, where, stored, shift, None)
         raise QueryError(f"can't compute {e}")
 
+    def before(self, use: Use) -> list[str]:
+        """The columns of a use in the rows that are merged before they are copied."""
+        return [f"{self.bases[use.base][1]}_{i}" for i in range(len(use.states))]
+
     def _aggregate(self, agg: Agg | WeightedMean | Percentile, conds: tuple[Column, ...], where: str, stored: tuple[Node, ...] | None, shift: int, at: float | None) -> Column:
         unset = F.lit(None).cast("double")
         if shift > 0:
@@ -340,7 +367,9 @@ class _Run:
             states = [F.col(c) for c in slot.columns]
         if shift:
             self.shifts.add(shift)
-        _, name = self.uses.setdefault((key, where, shift), (Use(slot, states, list(conds), shift), f"q{len(self.uses)}"))
+        use = Use(slot, states, list(conds), shift, (key, where))
+        self.bases.setdefault(use.base, (use, f"b{len(self.bases)}"))
+        _, name = self.uses.setdefault((key, where, shift), (use, f"q{len(self.uses)}"))
         own = Slot(agg, name)
         return own.read([F.col(f"{name}_{i}") for i in range(len(states))], at)
 
