@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -78,6 +82,49 @@ class Stash:
                 remove(self.spark, path)
 
 
+#: Keys of more than one row in so many are hot.
+SPREAD = 5000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Inner join of ``left``, of ``rows`` rows, with ``right``, which has each key once and in ``c`` how many rows of ``left`` have it.
+
+    Hot keys are at most ``SPREAD``, as their rows would else be more than all, so they are broadcast and their rows
+    stay where they lie; all other keys are shuffled. Both sides are read more than once, so they should be tables.
+    """
+    hot = F.col("c") * SPREAD > F.lit(rows)
+    here = left.join(F.broadcast(right.where(hot)), on)
+    cold = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti")
+    return here.unionByName(cold.join(right.where(~hot), on))
+
+
+def by_row(df: DataFrame, id_col: str, text_col: str, stash: Stash) -> tuple[DataFrame, bool]:
+    """``row``, ``id``, ``text`` and ``whole``: a key of each row in the order of ids, null ids last, and the row itself; and whether the key is the id.
+
+    It is where ids are whole numbers, none is null and none is there twice; else the rows
+    are sorted, those of one id by their texts, numbered and written. A row is then a document, whatever its id.
+    """
+    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole"))
+    id_, text = F.col(f"whole.`{id_col}`"), F.col(f"whole.`{text_col}`")
+    named = lambda rows, key: rows.select(key.alias("row"), id_.alias("id"), text.alias("text"), "whole")
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        odd = docs.groupBy(id_.alias("id")).agg(F.count(F.lit(1)).alias("c")).where("id IS NULL OR c > 1")
+        if odd.isEmpty():
+            return named(docs, id_.cast("long")), True
+    by = [id_.isNull(), id_, F.xxhash64(text), F.monotonically_increasing_id()]
+    return named(stash.put(docs.orderBy(*by).withColumn("row", F.monotonically_increasing_id())), F.col("row")), False
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of shuffles that nothing uses any more; else they lie on disk until the driver collects garbage.
+
+    Only disk depends on it: results are the same without.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, wherever the driver has it from; once per context."""
     context = spark.sparkContext

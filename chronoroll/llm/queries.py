@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .language_id import op2_language_id
 from .media import op3_media
-from .oracles import OP9
+from .oracles import OP8, OP9, OP10
 from .packing import op5_packing
 from .quality_rules import op6_quality_rules
 from .rule_ensemble import op7_quality_classifier
@@ -19,4 +19,4 @@ QUERIES = {
     for f in (op1_sentencepiece, op2_language_id, op3_media, op4_secrets, op5_packing, op6_quality_rules, op7_quality_classifier, op8_shingle_join, op9_sharding, op10_suffix_dedup)
 }
 #: sentencepiece and BPE ids, models, digests of stored forms and spans by look-around are beyond DuckDB's SQL.
-SQL: dict[str, str] = {"op9_sharding": OP9}
+SQL: dict[str, str] = {"op8_shingle_join": OP8, "op9_sharding": OP9, "op10_suffix_dedup": OP10}

@@ -2,17 +2,17 @@
 
 A document's tokens are the hashes of its distinct five-word shingles. Documents of one
 set are one class, and similar classes are partitioned into groups of bounded size by
-their smallest tokens. The matrix stores which token stands in the union of which
-group. Two sets reach the threshold only if the first ``n - ceil(t n) + 1`` tokens of each,
-in any order common to all, share one; so the matrix holds these tokens, frequent ones being
-last in the order, and a query's overlap with a group's union bounds what it can share
-with any member. Only groups whose bound and range of sizes qualify are opened, and
-the members are compared with the query exactly.
-
-Copies by the thousand don't make pairs by the million: a first round opens, for each
+their smallest tokens. Two sets reach the threshold only if the first ``n - ceil(t n) + 1`` tokens of each,
+in any order common to all, share one; frequent tokens are last in the order. The matrix stores which of these tokens stand in
+which group; it names the groups that a query may have to do with. There, the union of all tokens of the group's members
+is made once, and the query's overlap with the union is counted: no member shares more with it. Only groups where this bound
+reaches the threshold's share of the query are opened, only for members whose sizes the bound allows, and these
+are compared with the query exactly.
+
+Copies by the thousand don't make pairs by the million: a first round asks, for each
 token, only one pivot group, that of its most central class, and each class's own group. What these links connect needs no
-more. The second round opens the remaining qualifying groups, for classes that are in
-another component than a member. Of crowded classes, which would meet many more others than they have
+more. The second round asks the remaining groups, for classes that are in
+another component than a member and in a band of like sizes. Of crowded classes, which would meet many more others than they have
 tokens, all tokens are counted: one that a single crowded class has can't be shared among
 them, so what is left of a set bounds the overlaps and thereby the sizes of crowded sets
 that it can link with. Many copies just below the threshold are told apart by this, not
@@ -22,15 +22,15 @@ Tokens are 64-bit hashes; sets are compared on 40 of those bits, which are all d
 a pair but for about one pair of tokens in 10^6 documents.
 
 Defined results: null, empty and blank texts have no shingles and are their own
-component; a text of fewer than five words has one shingle; rows with equal texts are linked; an
-empty table gives an empty table; columns other than the id and the text are not
-carried along.
+component; a text of fewer than five words has one shingle; rows with equal texts are linked; each row is a document,
+also where ids are null, repeat or are no numbers: a component's id is its smallest that isn't null; texts of any length are taken
+whole; an empty table gives an empty table; columns other than the id and the text are not
+carried along, whatever they are called.
 """
 
 from __future__ import annotations
 
-import gc
-import time
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, documents, map_batches
+from .common import Stash, by_row, documents, map_batches, settle
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Members of a group, and queries that meet it in one task, at most about.
-GROUP, QUERIES = 64, 4096
-#: Tokens of more postings than this (by hashes alone, which post a fifth of all) are frequent; of those, at most so many are told to all tasks (8 bytes each).
+GROUP, QUERIES = 64, 1000
+#: Tokens of more postings than this (by hashes alone, which post a fifth of all) are frequent; only so many are told to all tasks (8 bytes each):
+#: if there are more, those above the least number of postings that leaves no more.
 FREQUENT, TOLD = 2, 1 << 20
 #: A class is crowded if its tokens are held so many times as often as it has tokens; any value gives the same result.
 CROWDED = 4
@@ -157,15 +158,40 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.sort(out.view(np.uint64).ravel())
 
 
+def overlap(small: np.ndarray, large: np.ndarray) -> int:
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(large) else 0
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    both = overlap(a, b) if len(a) <= len(b) else overlap(b, a)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def largest(query: np.ndarray, union: np.ndarray, percent: int) -> int:
+    """The size of the largest member of a group that the query can link with, by its overlap with their union; 0: the group stays shut."""
+    bound = overlap(query, union)
+    return (100 + percent) * bound // percent - len(query) if 100 * bound >= percent * len(query) else 0
+
+
+def frequent_tokens(counts: DataFrame, least: int = FREQUENT, most: int = TOLD) -> np.ndarray:
+    """Sorted tokens of more than ``least`` postings, at most ``most``. ``counts``: token and c.
+
+    The numbers of tokens per step of c, a few hundred rows, tell where to cut; only tokens above the cut reach the driver.
+    """
+    some = counts.where(F.col("c") > least).withColumn("step", F.floor(F.log2("c") * 4).cast("int"))
+    cut, total = None, 0
+    for step, n in sorted(map(tuple, some.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        cut = step
+    if cut is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(some.where(F.col("step") >= cut).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def reach(classes: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
     """print, hi: the largest set that each class can link with, among ``classes`` (print).
 
@@ -189,27 +215,27 @@ def reach(classes: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
     return out
 
 
-def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
-    """Links (a, b) of the queries and members of opened groups, as few as connect the same.
+def verify(asked: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
+    """Links (a, b) of the queries and members of groups that the bound opens, as few as connect the same.
 
-    ``opened``: query, gid. ``members``: print, n, gid, rep. A group's members meet its queries in
+    ``asked``: query, gid. ``members``: print, n, gid, rep. A group's members, and with them their union, meet its queries in
     as many tasks as the queries need.
     """
-    load = opened.groupBy("gid").agg(F.count(F.lit(1)).alias("q"))
+    load = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("q"))
     load = stash.put(load.select("gid", F.ceil(F.col("q") / QUERIES).cast("int").alias("parts")))
     inside = members.join(load, "gid")
-    needed = inside.select("print").union(opened.select(F.col("query").alias("print"))).distinct()
+    needed = inside.select("print").union(asked.select(F.col("query").alias("print"))).distinct()
     reps = members.join(needed, "print", "left_semi").select("print", F.col("rep").alias("id"))
     sets = stash.put(packed_sets(docs.join(reps, "id").select("print", "text")))
     settle(docs.sparkSession)
     rows = inside.select("gid", F.lit(0).alias("role"), "print", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = opened.join(load, "gid").select("gid", F.lit(1).alias("role"), F.col("query").alias("print"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"))
-    full = rows.unionByName(asked).join(sets, "print")
+    queries = asked.join(load, "gid").select("gid", F.lit(1).alias("role"), F.col("query").alias("print"), F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"))
+    full = rows.unionByName(queries).join(sets, "print")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     met = full.repartition(n, "gid", "part").sortWithinPartitions("gid", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, roots = None, [], {}
+        at, group, union, roots = None, [], None, {}
 
         def root(x: int) -> int:
             while roots.setdefault(x, x) != x:
@@ -221,13 +247,16 @@ def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
             found = []
             for gid, part, role, p, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if (gid, part) != at:
-                    at, group, roots = (gid, part), [], {}
+                    at, group, union, roots = (gid, part), [], None, {}
                 s = unpack(raw)
                 if role == 0:
                     group.append((p, s))
                     continue
-                for other, t in group:
-                    if other != p and root(other) != root(p) and similar(s, t, percent):
+                if union is None:
+                    union = group[0][1] if len(group) == 1 else np.unique(np.concatenate([t for _, t in group]))
+                most = largest(s, union, percent)
+                for other, t in group if most else ():
+                    if len(t) <= most and other != p and root(other) != root(p) and similar(s, t, percent):
                         roots[root(p)] = root(other)
                         found.append((p, other))
             cols = list(zip(*found)) or [(), ()]
@@ -242,11 +271,12 @@ def verify(opened: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
 def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id``: the smallest id that links reach."""
     stash = Stash(spark, "shingles")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wide = stash.put(profiles(df, percent, id_col, text_col))
-    counts = wide.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    told = counts.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(TOLD).select("token").toPandas()["token"]
-    frequent = np.sort(told.to_numpy(np.int64).view(np.uint64))
+    keyed, same = by_row(df.select(id_col, text_col), id_col, text_col, stash)
+    docs = keyed.select(F.col("row").alias("id"), "text")
+    wide = stash.put(profiles(docs, percent, "id", "text"))
+    counts = stash.put(wide.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT))
+    frequent = frequent_tokens(counts, FREQUENT, TOLD)
+    stash.drop(counts)
     own = stash.put(wide.drop("tokens"))
     stash.drop(wide)
     settle(spark)
@@ -254,7 +284,7 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     crowd = classes.groupBy("gkey").agg(F.count(F.lit(1)).alias("c"))
     parts = F.ceil(F.col("c") / GROUP)
     members = stash.put(classes.join(crowd, "gkey").select("print", "n", "rep", F.xxhash64("gkey", F.pmod(F.xxhash64("print"), parts)).alias("gid"), "c"))
-    raw = stash.put(postings(df, frequent, percent, id_col, text_col))
+    raw = stash.put(postings(docs, frequent, percent, "id", "text"))
     # A token that is posted once links nothing; copies in several tasks post theirs again, which does no harm.
     shared = raw.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     narrow = stash.put(raw.join(shared, "token"))
@@ -292,8 +322,11 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     top = weight.groupBy("token").agg(F.max(F.struct("w", "comp")).alias("top"))
     side = label.join(weight, ["token", "comp"])
     asks = side.join(top, "token").where(F.struct("w", "comp") < F.col("top")).select("token", F.col("print").alias("query"), "n", "hi", F.struct("w", "comp").alias("mine"))
-    holds = side.groupBy("token", "gid", F.struct("w", "comp").alias("theirs"), F.isnull("hi").alias("free")).agg(F.min("n").alias("from_n"), F.max("hi").alias("to_n"))
-    pairs = asks.join(holds, "token").where("mine < theirs AND (free OR hi IS NULL OR from_n <= hi AND n <= to_n)").select("query", "n", "gid").distinct()
+    # Sizes that can link lie in the same band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / max(1.001 * math.log(100 / percent), 1e-6)).cast("int")
+    holds = side.groupBy("token", "gid", band.alias("band"), F.struct("w", "comp").alias("theirs"), F.isnull("hi").alias("free")).agg(F.min("n").alias("from_n"), F.max("hi").alias("to_n"))
+    holds = holds.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    pairs = asks.withColumn("band", band).join(holds, ["token", "band"]).where("mine < theirs AND (free OR hi IS NULL OR from_n <= hi AND n <= to_n)").select("query", "n", "gid").distinct()
     second = stash.put(qualifying(pairs).join(first, ["query", "gid"], "left_anti"))
     more = verify(second, members, docs, stash, percent)
     whole = components(links.union(more), stash)
@@ -301,15 +334,13 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     named = members.join(whole, members["print"] == whole["node"], "left").select("print", "n", "rep", F.coalesce("comp", "print").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "comp").select("print", "n", "component_id")
-    out = own.join(by_class, ["print", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def settle(spark: SparkSession) -> None:
-    """Let go of shuffles that nothing uses any more; else they lie on disk until the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    out = own.join(by_class, ["print", "n"], "left").select(F.col("id").alias("row"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("first"))
+    if same:
+        kind = df.schema[id_col].dataType
+        return out.select(F.col("row").cast(kind).alias(id_col), "n_shingles", F.col("first").cast(kind).alias("component_id"))
+    ids = keyed.select("row", "id")
+    firsts = ids.select(F.col("row").alias("first"), F.col("id").alias("component_id"))
+    return out.join(ids, "row").join(firsts, "first").select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,19 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoroll.llm import packing, rule_ensemble, secret_scan, shingle_join, suffix_dedup
-from chronoroll.llm.common import Stash, documents
+from chronoroll.llm.common import Stash, by_row, documents
 from chronoroll.llm.text_stats import with_statistics
 
 #: SQL can't express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row``: a key of each row in the order of ids, null ids last, whatever ids are null or repeat."""
-    by = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
-    return Stash(spark, "keyed").put(docs.orderBy(*by).withColumn("row", F.monotonically_increasing_id()))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, row by row; empty texts are rejected like any other."""
     labels = documents(spark, sf_dir, "labels").where(rule_ensemble.remainder(5) != 0)
@@ -36,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one row of the smallest id; a null id only where no other is linked."""
-    rows = _keyed(spark, docs)
-    linked = shingle_join.join(spark, rows, id_col="row")
-    return rows.join(linked.where("row = component_id").select("row"), "row", "left_semi").select(*docs.columns)
+    rows, _ = by_row(docs, "doc_id", "text", Stash(spark, "keyed"))
+    linked = shingle_join.join(spark, rows.select("row", "text"), id_col="row")
+    return rows.join(linked.where("row = component_id").select("row"), "row", "left_semi").select("whole.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +40,16 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are documents, whatever their ids. Those of which bytes went and nothing but white space is left go; the others stay.
     """
-    rows = _keyed(spark, docs)
-    kept = suffix_dedup.dedup(spark, rows, id_col="row")
+    rows, _ = by_row(docs, "doc_id", "text", Stash(spark, "keyed"))
+    kept = suffix_dedup.dedup(spark, rows.select("row", "text"), id_col="row")
     text = F.expr("try_validate_utf8(kept)")
     cut = F.coalesce(text, F.regexp_replace(F.expr("make_valid_utf8(kept)"), "�", ""))
-    whole = F.size("removed") == 0
-    left = kept.select("row", whole.alias("whole"), F.when(whole, F.decode("kept", "UTF-8")).otherwise(cut).alias("text"))
-    left = left.where(F.col("whole") | F.col("text").rlike(r"[^ \t-\r]"))
-    out = rows.withColumn("none", F.col("text").isNull()).drop("text").join(left, "row")
-    out = out.withColumn("text", F.when(~F.col("none"), F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("none"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    uncut = F.size("removed") == 0
+    left = kept.select("row", uncut.alias("uncut"), F.when(uncut, F.decode("kept", "UTF-8")).otherwise(cut).alias("left"))
+    out = rows.join(left.where(F.col("uncut") | F.col("left").rlike(r"[^ \t-\r]")), "row")
+    some = F.col("whole.text").isNotNull()
+    n_chars = F.when(some, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("whole.n_chars"))
+    return out.select(F.col("whole").withField("text", F.when(some, F.col("left"))).withField("n_chars", n_chars).alias("whole")).select("whole.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
