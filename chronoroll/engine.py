@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dims import Dimensions
@@ -174,6 +177,42 @@ class Engine:
             self._cache[sql] = now, self.query(sql).cache()
         return self._cache[sql][1]
 
+    def collect(self, sql: str, timeout: float | None = None, **options: object) -> list[Row]:
+        """A query's rows, or an error once ``timeout`` seconds have gone; its jobs are stopped then."""
+        context, group, fired = self.spark.sparkContext, f"query-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            fired.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout, stop) if timeout is not None else None
+        context.setJobGroup(group, sql, interruptOnCancel=True)
+        try:
+            if timer:
+                timer.start()
+            return self.query(sql, **options).collect()
+        except Exception as e:
+            if fired.is_set():
+                raise QueryError(f"the query took more than {timeout:g} seconds") from e
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                context.setLocalProperty(name, None)
+
+    def keep(self, sql: str, folder: str, **options: object) -> str:
+        """Write a query's result under a permanent name, which outlives this session; the name."""
+        name = uuid.uuid4().hex
+        self.query(sql, **options).write.parquet(f"{folder.rstrip('/')}/{name}")
+        return name
+
+    def kept(self, name: str, folder: str) -> DataFrame:
+        """A result by the name that ``keep`` gave it."""
+        if not re.fullmatch("[0-9a-f]{32}", name):
+            raise QueryError(f"{name!r} is no name of a result")
+        return self.spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+
     def cardinalities(self, sql: str, exact: bool = False) -> DataFrame:
         """The number of values of every column of a result, in one pass."""
         df = self.query(sql)

@@ -7,7 +7,7 @@ ANY is the first value that isn't null, DECODE without a default gives null.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +72,40 @@ def from_callable(fn: Callable[..., object], kind: str = "string") -> Callable[.
     return build
 
 
+def _table(rows: Mapping[tuple[str, str], object]) -> Callable[[Column, Column], Column]:
+    """A literal of pairs, for a lookup by two texts."""
+    if len(rows) > MAPPING_ROWS:
+        raise QueryError(f"a mapping of {len(rows)} rows is too large for a plan; register a callable")
+    table = F.create_map(*(F.lit(x) for (a, b), v in rows.items() for x in (f"{a}\x00{b}", str(v)))) if rows else F.create_map().cast("map<string,string>")
+    return lambda a, b: F.try_element_at(table, F.concat(_text(a), F.lit("\x00"), _text(b)))
+
+
+def from_hashes(hashes: Mapping[str, Mapping[str, object]]) -> Callable[[Column, Column], Column]:
+    """A provider of HGET(hash, key)."""
+    return _table({(h, k): v for h, own in hashes.items() for k, v in own.items()})
+
+
+def from_sets(sets: Mapping[str, Iterable[object]]) -> Callable[[Column, Column], Column]:
+    """A provider of SISMEMBER(set, member)."""
+    found = _table({(s, str(m)): "" for s, own in sets.items() for m in own})
+    return lambda s, m: found(s, m).isNotNull()
+
+
+def from_scripts(scripts: Mapping[str, Callable[[list, list], object]]) -> Callable[[Column, Column, Column], Column]:
+    """A provider of LUA(script, ARRAY(keys), ARRAY(args)): Python functions by name, in Arrow batches."""
+
+    def build(script: Column, keys: Column, args: Column) -> Column:
+        @F.pandas_udf("string")
+        def call(names, keys_, args_):  # type: ignore[no-untyped-def]
+            import pandas as pd
+
+            return pd.Series([None if n not in scripts else None if (x := scripts[n](list(k), list(a))) is None else str(x) for n, k, a in zip(names, keys_, args_)], dtype=object)
+
+        return call(_text(script), keys, args)
+
+    return build
+
+
 class Dimensions:
     """The registry of functions and aliases, and the way from trees to columns."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.dims import from_hashes, from_scripts, from_sets
 
 ALIASES = """
 SHORT = SUBSTR(%v, 0, 3)
@@ -39,6 +40,11 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e.create_view("clicks", "SELECT * FROM base WHERE event_type = 'click'")
     e.create_view("click_mean", "SELECT value / n AS per FROM clicks WHERE k > 50 GROUP BY user_id, period(2h)")
     e.create_table("arrays", "SELECT value FROM measures GROUP BY event_type, period(1h)")
+    e.create_table("early", "SELECT value FROM events WHERE k < 5 AND event_type <> 'view' GROUP BY event_type, period(1h)")
+    e.create_table("deep", "SELECT PERCENTILE(value, 90, 0, 1000, 2) AS p90, PERCENTILE(p90, 50, 0, 500, 2) AS half FROM events GROUP BY event_type, period(1h)")
+    e.dims.register("HGET", from_hashes({"names": {"click": "Click", "view": "View"}}), 2, 2)
+    e.dims.register("SISMEMBER", from_sets({"loud": ["error", "purchase"]}), 2, 2)
+    e.dims.register("LUA", from_scripts({"tag": lambda keys, args: f"{keys[0]}:{args[0]}"}), 3, 3)
     e.create_table("shipped", "SELECT l_quantity, l_extendedprice, WAVG(l_discount, l_extendedprice) AS discount FROM lineitem GROUP BY l_returnflag, l_linestatus, period(1d)")
     e.create_table("ordered", "SELECT o_totalprice, COUNT(o_totalprice) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus, period(1d)")
     return e
@@ -96,6 +102,14 @@ QUERIES: dict[str, str] = {
     "dim_functions": "SELECT value FROM everything GROUP BY LEN(event_type) AS size, SPLIT(event_type, 'r', 1) AS part, SUBSTR(event_type, 1, 3) AS sub, REPLACEALL(event_type, 'r+', 'R') AS replaced, CONCAT('|', event_type, user_id) AS joined, PANY(nothing, event_type) AS some, DECODE(event_type, 'click', 'c', 'view', 'v', 'other') AS decoded, period(24h)",
     "alias_macro": "SELECT value FROM everything GROUP BY SHORT(event_type) AS short, PERCENT(k, 5) AS five, period(24h)",
     "gap_fill_const_arith": "SELECT value / 10 AS tenth FROM activity GROUP BY user_id, period(1h)",
+    "percentile_of_percentile": "SELECT half FROM deep GROUP BY event_type, period(24h)",
+    "period_only": "SELECT value FROM activity GROUP BY period(6h)",
+    "only_present": "SELECT _ FROM activity GROUP BY event_type, period(24h)",
+    "limit_zero": "SELECT value FROM activity GROUP BY event_type, period(24h) LIMIT 0",
+    "true_false": "SELECT value FROM activity WHERE TRUE = TRUE AND FALSE <> TRUE AND event_type <> 'view' GROUP BY event_type, period(24h)",
+    "rand_bounds": "SELECT value FROM activity WHERE RAND() >= 0 AND RAND() < 1 GROUP BY event_type, period(24h)",
+    "lookups": "SELECT value FROM activity GROUP BY HGET('names', event_type) AS named, SISMEMBER('loud', event_type) AS loud, LUA('tag', ARRAY(event_type), ARRAY('x')) AS tagged, period(24h)",
+    "clock_of_where": "SELECT value FROM early ASOF '-3d' GROUP BY event_type, period(6h)",
     "lineitem_daily": "SELECT l_quantity, l_extendedprice, discount FROM shipped",
     "orders_30d": "SELECT o_totalprice, n, o_totalprice / n AS per FROM ordered GROUP BY o_orderpriority, period(30d)",
 }
@@ -177,6 +191,14 @@ SQL: dict[str, str] = {
     "dim_functions": P + f"SELECT {_by(24)} AS _time, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE 'other' END AS decoded, event_type || '|' || user_id AS joined, string_split(event_type, 'r')[2] AS part, regexp_replace(event_type, 'r+', 'R', 'g') AS replaced, CAST(length(event_type) AS INTEGER) AS size, event_type AS some, substr(event_type, 2, 3) AS sub, {VAL} FROM h GROUP BY ALL",
     "alias_macro": P + f"SELECT {_by(24)} AS _time, CASE WHEN k = 5 THEN 'yes' ELSE 'no' END AS five, substr(event_type, 1, 3) AS short, {VAL} FROM h GROUP BY ALL",
     "gap_fill_const_arith": P + ", s AS (SELECT user_id, min(lab) AS lo, max(lab) AS hi FROM p GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS lab FROM s), v AS (SELECT user_id, lab, sum(value) AS v FROM p GROUP BY 1, 2) SELECT g.lab AS _time, g.user_id, round(coalesce(v, 0) / 10, 4) AS tenth FROM g LEFT JOIN v ON g.user_id = v.user_id AND g.lab = v.lab",
+    "percentile_of_percentile": _quantile(50, "half").replace("BETWEEN 0 AND 1000", "BETWEEN 0 AND 500"),
+    "period_only": _sums("event_type, user_id", 6),
+    "only_present": P + f"SELECT DISTINCT {_by(24)} AS _time, event_type FROM h",
+    "limit_zero": _sums("event_type", 24),
+    "true_false": _sums("event_type", 24, where="WHERE event_type <> 'view'"),
+    "rand_bounds": _sums("event_type", 24),
+    "lookups": P + f"SELECT {_by(24)} AS _time, event_type IN ('error', 'purchase') AS loud, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'View' END AS named, event_type || ':x' AS tagged, {VAL} FROM h GROUP BY ALL",
+    "clock_of_where": P + f", e AS (SELECT * FROM p WHERE k < 5 AND event_type <> 'view'), c AS (SELECT e.*, m, time_bucket(INTERVAL 1 HOUR, m - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS u2, time_bucket(INTERVAL 1 HOUR, m - INTERVAL 3 DAY - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS a FROM e, (SELECT max(ts) AS m FROM e)) SELECT {_by(6, 'u2')} AS _time, event_type, {VAL} FROM c WHERE lab > a GROUP BY 1, 2",
     "lineitem_daily": f"SELECT {_DAY.format('l_shipdate')} AS _time, l_linestatus, l_returnflag, round(sum(l_quantity), 4) AS l_quantity, round(sum(l_extendedprice), 4) AS l_extendedprice, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 7) AS discount FROM lineitem GROUP BY 1, 2, 3",
     "orders_30d": f"WITH d AS (SELECT *, {_DAY.format('o_orderdate')} AS lab FROM orders), c AS (SELECT *, (SELECT max(lab) FROM d) AS u FROM d) SELECT u - to_days(CAST(30 * floor(date_diff('day', lab, u) / 30) AS INTEGER)) AS _time, o_orderpriority, round(sum(o_totalprice), 4) AS o_totalprice, CAST(count(o_totalprice) AS DOUBLE) AS n, round(sum(o_totalprice) / count(o_totalprice), 7) AS per FROM c GROUP BY 1, 2",
     "cardinalities": P + "SELECT count(DISTINCT lab) AS _time, count(DISTINCT event_type) AS event_type, count(DISTINCT v) AS _points FROM (SELECT lab, event_type, count(*) AS v FROM p GROUP BY 1, 2)",

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A string of JSON, and an object that holds objects, which hold no more.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_PLAIN = r'[^{}"]++|' + _STRING
+OBJECT = r"\{(?:" + _PLAIN + r"|\{(?:" + _PLAIN + r")*+\})*+\}"
+
 
 def from_tuples(spark: SparkSession, points: Iterable[tuple[object, dict, dict]]) -> tuple[DataFrame, list[str]]:
     """A DataFrame of (ts, dims, vals) and the names of its values; values of other kinds than numbers and lists of them are left out."""
@@ -35,7 +40,7 @@ def from_tuples(spark: SparkSession, points: Iterable[tuple[object, dict, dict]]
 
 
 def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterable[str], now: str | None = None, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Lines of {"ts", "dims", "vals"}: accepted points as columns, and rejected lines with a reason.
+    """Objects {"ts", "dims", "vals"}, one or more a line: accepted points as columns, and what was rejected with a reason.
 
     ``dims``: Spark types by name. A point without ts gets ``now`` (or the current time);
     one without any dimension or any value is rejected.
@@ -48,7 +53,10 @@ def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterab
     ])
     reader = spark.readStream if streaming else spark.read
     lines = reader.text(path).where(F.length(F.trim("value")) > 0)
-    parsed = lines.select("value", F.from_json("value", schema).alias("p"))
+    # Objects that follow each other on a line; what is left between them is rejected by itself.
+    found, left = F.regexp_extract_all("value", F.lit(OBJECT), F.lit(0)), F.trim(F.regexp_replace("value", OBJECT, " "))
+    objects = F.concat(found, F.when(F.length(left) > 0, F.array(left)).otherwise(F.slice(found, 1, 0)))
+    parsed = lines.select(F.explode(objects).alias("value")).select("value", F.from_json("value", schema).alias("p"))
     reason = (
         F.when(F.col("p").isNull() | (F.col("p.dims").isNull() & F.col("p.vals").isNull() & F.col("p.ts").isNull()), "not a point")
         .when(F.coalesce(F.size("p.dims"), F.lit(0)) < 1, "no dimensions")

@@ -16,12 +16,16 @@ def write_csv(df: DataFrame, path: str, fields: Iterable[str]) -> None:
 
 
 def text_table(df: DataFrame, fields: Iterable[str], most: int = 1000) -> str:
-    """The first rows: time, dimensions by name, fields with four decimals; ``-----`` for no value."""
+    """The first rows: time, dimensions by name, fields with four decimals; ``-----`` for no value.
+
+    A last line says so where there are more than ``most``.
+    """
     fields = list(fields)
     dims = sorted(c for c in df.columns if c != "_time" and c not in fields)
-    rows = [["# time", *dims, *fields]]
-    for r in df.limit(most).collect():
+    rows, found = [["# time", *dims, *fields]], df.limit(most + 1).collect()
+    for r in found[:most]:
         time = r["_time"].strftime("%a, %d %b %Y %H:%M:%S UTC")
         rows.append([time, *("-----" if r[d] is None else str(r[d]) for d in dims), *(f"{r[f]:.4f}" for f in fields)])
     wide = [max(len(row[k]) for row in rows) for k in range(len(rows[0]))]
-    return "\n".join("  ".join(c.ljust(w) if k <= len(dims) else c.rjust(w) for k, (c, w) in enumerate(zip(row, wide))).rstrip() for row in rows)
+    lines = ["  ".join(c.ljust(w) if k <= len(dims) else c.rjust(w) for k, (c, w) in enumerate(zip(row, wide))).rstrip() for row in rows]
+    return "\n".join(lines + [f"# only the first {most} rows"] * (len(found) > most))
