@@ -89,13 +89,16 @@ SPREAD = 5000
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
     """Inner join of ``left``, of ``rows`` rows, with ``right``, which has each key once and in ``c`` how many rows of ``left`` have it.
 
-    Hot keys are at most ``SPREAD``, as their rows would else be more than all, so they are broadcast and their rows
-    stay where they lie; all other keys are shuffled. Both sides are read more than once, so they should be tables.
+    A hot key's rows go to as many tasks as one row in ``SPREAD`` makes parts of them, with a copy of its one row of
+    ``right`` each. Hot keys are at most ``SPREAD``, as their rows would else be more than all, so ``left`` learns of them by
+    broadcast. ``right`` is read twice, so it should be a table.
     """
-    hot = F.col("c") * SPREAD > F.lit(rows)
-    here = left.join(F.broadcast(right.where(hot)), on)
-    cold = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti")
-    return here.unionByName(cold.join(right.where(~hot), on))
+    parts = F.when(F.col("c") * SPREAD > F.lit(rows), F.ceil(F.col("c") * SPREAD / F.lit(max(1, rows)))).cast("int")
+    hot = right.where(F.col("c") * SPREAD > F.lit(rows)).select(*on, parts.alias("__parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__parts")).cast("int"), F.lit(0))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__parts")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*on, "__salt"]).drop("__salt")
 
 
 def by_row(df: DataFrame, id_col: str, text_col: str, stash: Stash) -> tuple[DataFrame, bool]:

@@ -40,9 +40,9 @@ from .shingle_join import _mix
 
 LENGTH, GRAM = 100, 32
 #: A block is closed at the next anchor beyond this many bytes.
-BLOCK = 400_000
+BLOCK = 250_000
 #: An anchor of more segments is split, by ranges of so many places.
-HOT, WIDTHS = 2000, (16, 4, 1)
+HOT, WIDTHS = 1500, (16, 4, 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -80,8 +80,8 @@ def occurrences(df: DataFrame, length: int) -> DataFrame:
 
         seen: dict[int, int] = {}
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, 200):
+                b = whole.slice(k, 200)
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     raw = (text or "").encode()
