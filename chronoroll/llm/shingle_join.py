@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, by_row, documents, map_batches, settle
+from .common import Stash, by_row, documents, map_batches, settle, spread_join
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -280,10 +280,11 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     own = stash.put(wide.drop("tokens"))
     stash.drop(wide)
     settle(spark)
-    classes = own.where("n > 0").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first("gkey").alias("gkey"))
-    crowd = classes.groupBy("gkey").agg(F.count(F.lit(1)).alias("c"))
+    classes = stash.put(own.where("n > 0").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first("gkey").alias("gkey")))
+    crowd = stash.put(classes.groupBy("gkey").agg(F.count(F.lit(1)).alias("c")))
     parts = F.ceil(F.col("c") / GROUP)
-    members = stash.put(classes.join(crowd, "gkey").select("print", "n", "rep", F.xxhash64("gkey", F.pmod(F.xxhash64("print"), parts)).alias("gid"), "c"))
+    members = stash.put(spread_join(classes, crowd, ["gkey"], classes.count()).select("print", "n", "rep", F.xxhash64("gkey", F.pmod(F.xxhash64("print"), parts)).alias("gid"), "c"))
+    stash.drop(classes, crowd)
     raw = stash.put(postings(docs, frequent, percent, "id", "text"))
     # A token that is posted once links nothing; copies in several tasks post theirs again, which does no harm.
     shared = raw.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
