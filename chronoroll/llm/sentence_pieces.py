@@ -5,7 +5,7 @@ line ends, and between letters and the signs that no piece joins to them. Every
 pairs ordered by score (``bpe.PairTable``) and then taken from a bounded cache. Of the
 new cuts of an Arrow batch, those whose checksum is divisible by ``check_every`` (1:
 all, 0: none) are also encoded by the sentencepiece library in one call; should the
-two differ, the library's ids are used and the number of such cuts is logged.
+two differ, the library's ids are used, and the column ``mended`` says in how many places of a text.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 characters outside the vocabulary become byte pieces; U+2581 is a word mark like
@@ -75,7 +75,8 @@ class Codec:
         for i in range(n):
             if lib.is_control(i):
                 self.bytes_of[i] = b""
-        self.known, self.mended = Recent(CACHE), 0
+        #: Cuts that the agenda and the library encode differently; none are known.
+        self.known, self.mended = Recent(CACHE), set()
 
     def agenda(self, cuts: list[str]) -> list[bytes]:
         """Ids of each cut as little-endian 32-bit integers."""
@@ -100,22 +101,26 @@ class Codec:
         own = self.agenda(new)
         if self.check_every:
             some = [k for k, c in enumerate(new) if self.check_every == 1 or zlib.crc32(c.encode()) % self.check_every == 0]
-            mended = 0
+            mended = set()
             for k, ids in zip(some, self.by_library([new[k] for k in some])):
                 if own[k] != (right := np.array(ids, "<i4").tobytes()):
                     own[k] = right
-                    mended += 1
+                    mended.add(new[k])
             if mended:
-                self.mended += mended
-                logging.getLogger(__name__).warning("%d of %d cuts differ from the library, whose ids are used", mended, len(some))
+                self.mended |= mended
+                logging.getLogger(__name__).warning("%d of %d cuts differ from the library, whose ids are used", len(mended), len(some))
         self.known.young.update(zip(new, own))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        return self.encode_checked(texts)[0]
+
+    def encode_checked(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
+        """As ``encode``, and in how many places of each text the library's ids stand for the agenda's."""
         cuts = [self.cut(f"{MARK}{t.replace(' ', MARK)}") if t else [] for t in texts]
         self.learn(set().union(*cuts))
         get = self.known.young.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
+        return [b"".join(map(get, c)) for c in cuts], [sum(x in self.mended for x in c) if self.mended else 0 for c in cuts]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode: one mark at the start goes, byte pieces are joined as UTF-8."""
@@ -138,7 +143,7 @@ def default_model() -> str:
 
 
 def encode_decode(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check_every: int = 1) -> DataFrame:
-    """``id_col``, ``ids array<int>``, ``decoded string`` for every row; no shuffle."""
+    """``id_col``, ``ids array<int>``, ``decoded string``, ``mended int`` for every row; no shuffle."""
     path = model_path or default_model()
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -147,13 +152,13 @@ def encode_decode(df: DataFrame, model_path: str | None = None, id_col: str = "d
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
-                raw = own.encode(batch.column(1).to_pylist())
+                raw, mended = own.encode_checked(batch.column(1).to_pylist())
                 ids = [np.frombuffer(r, "<i4") for r in raw]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(map(own.decode, ids), pa.string())], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(map(own.decode, ids), pa.string()), pa.array(mended, pa.int32())], ["id", "ids", "decoded", "mended"])
 
-    out = map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>, decoded string")
+    out = map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>, decoded string, mended int")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -164,4 +169,5 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("mended").cast("long").alias("n_mended"),
     )
