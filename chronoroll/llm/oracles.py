@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sharding import BITS, PHASE, SEED, SHARDS
+from .sharding import BITS, SEED, SHARDS
 
 #: CRC-32 by its table of 256 remainders, made from the polynomial.
 CRC_TABLE = """crc_table AS MATERIALIZED (
@@ -20,11 +20,13 @@ def _hash(parts: str) -> str:
 OP9 = f"""
 WITH {CRC_TABLE},
 d AS (
-  SELECT doc_id, octet_length(raw) + 8 AS size, {CRC} AS text_crc32, source, {_hash(f"'{SEED}', doc_id")} AS dealt,
-    ({_hash(f"'{SEED}', source")} % {1 << PHASE} + 0.5) / {float(1 << PHASE)} AS phase
+  SELECT doc_id, octet_length(raw) + 8 AS size, {CRC} AS text_crc32, source, {_hash(f"'{SEED}', doc_id")} AS dealt
   FROM (SELECT doc_id, encode(coalesce(text, '')) AS raw, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS source FROM documents), crc_table),
+sources AS (SELECT source, count(*) AS n, {_hash(f"'{SEED}', source")} AS h FROM d GROUP BY source),
+phases AS (
+  SELECT source, n, (row_number() OVER (PARTITION BY n ORDER BY h, source) - 0.5)::DOUBLE / count(*) OVER (PARTITION BY n) AS phase FROM sources),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY dealt, doc_id NULLS FIRST, text_crc32, size) AS k, count(*) OVER (PARTITION BY source) AS n FROM d),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY dealt, doc_id NULLS FIRST, text_crc32, size) AS k FROM d JOIN phases USING (source)),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY (k - phase) / n, source) - 1 AS place, count(*) OVER () AS total FROM ranked),
 cut AS (SELECT *, (place * {SHARDS}) // total AS s FROM placed)

@@ -1,13 +1,14 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations alone.
 
 Rows of each source are shuffled by a seeded hash and ranked; a row's fractional rank is
-its rank within its source, less a phase of the source's own between 0 and 1, over the source's size. Sorted by
-fractional rank, every source is spread evenly over the whole order, and sources of a row or two lie all over it by their
-phases. The order is cut into shards whose sizes differ by one row at most; so every shard has the mixture of the whole.
+its rank within its source, less a phase of the source's own between 0 and 1, over the source's size. Sources of equal size have
+phases at equal distances, in a shuffled order. So, sorted by fractional rank, every source is spread evenly over the whole order, and
+sources of a row or two, which can't be in every shard, are together. The order is cut into shards whose sizes differ by one row at
+most; so every shard has the mixture of the whole.
 
 Ranks are never counted in one task per source: the leading bits of the hash deal each source to small buckets,
 the counts of the buckets are summed before, and a row's rank is its number in its
-bucket plus that sum. The order by fractional rank is cut in the same way.
+bucket plus that sum. Sources of one size are ranked in the same way, and so is the order by fractional rank.
 
 Defined results: a null source is a source of its own; a null text has no bytes; rows
 with equal ids or texts are dealt each by itself, null ids like any other; texts of any length cost their bytes and a
@@ -25,8 +26,8 @@ from .common import Stash, documents
 SHARDS, SEED = 24, 17
 #: Rows of a bucket, about, and the fewest and most bits that buckets are told apart by.
 BUCKET, FEWEST, MOST = 2000, 6, 16
-#: Bits of a hash, and of a phase.
-BITS, PHASE = 60, 20
+#: Bits of a hash.
+BITS = 60
 
 
 def hashed(*parts: Column) -> Column:
@@ -55,12 +56,15 @@ def interleave(spark: SparkSession, df: DataFrame, shards: int = SHARDS, seed: i
     bits = min(MOST, max(FEWEST, (total // BUCKET).bit_length()))
     rows = rows.withColumn("bucket", F.shiftright("at", BITS - bits))
     counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    of_source = counts.groupBy("source").agg(F.sum("n").alias("all"))
-    base = _before(counts, "bucket", "source").join(of_source, "source").select("source", "bucket", "before", "all")
+    sources = stash.put(counts.groupBy("source").agg(F.sum("n").alias("all")).withColumn("at", hashed(F.lit(seed), F.col("source"))).withColumn("part", F.shiftright("at", BITS - bits)))
+    alike = sources.groupBy("all", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = _before(alike, "part", "all").join(alike.groupBy("all").agg(F.sum("n").alias("of")), "all").select("all", "part", F.col("before").alias("ahead"), "of")
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("all", "part").orderBy("at", "source"))
+    phases = sources.join(several, ["all", "part"]).select("source", "all", ((place - 0.5) / F.col("of")).alias("phase"))
+    base = _before(counts, "bucket", "source").join(phases, "source").select("source", "bucket", "before", "all", "phase")
     own = Window.partitionBy("source", "bucket").orderBy("at", "id", "text_crc32", "size")
     ranked = rows.withColumn("k", F.row_number().over(own)).join(base, ["source", "bucket"])
-    phase = (F.pmod(hashed(F.lit(seed), F.col("source")), F.lit(1 << PHASE)) + 0.5) / float(1 << PHASE)
-    share = (F.col("before") + F.col("k") - phase) / F.col("all")
+    share = (F.col("before") + F.col("k") - F.col("phase")) / F.col("all")
     ranked = stash.put(ranked.select("id", "source", "size", "text_crc32", share.alias("share"), F.floor(share * (1 << bits)).alias("slice")))
     slices = _before(ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), "slice").select("slice", "before")
     order = Window.partitionBy("slice").orderBy("share", "source")
