@@ -191,6 +191,32 @@ def test_sharding(spark, table):
     assert sharding.interleave(spark, table([])).count() == 0
 
 
+def plain_order(rows, seed=sharding.SEED):
+    """(source, id) of rows by a plain sort: each source shuffled by hash, then all by fractional rank."""
+    number = lambda *parts: int(hashlib.md5("|".join(str(p) for p in parts if p is not None).encode()).hexdigest()[:15], 16)
+    by, alike = defaultdict(list), defaultdict(list)
+    for i, source in rows:
+        by["-" if source is None else f"+{source}"].append(i)
+    for source, ids in by.items():
+        alike[len(ids)].append((number(seed, source), source))
+    phase = {source: (k + 0.5) / len(same) for same in alike.values() for k, (_, source) in enumerate(sorted(same))}
+    out = []
+    for source, ids in by.items():
+        out += [((k + 1 - phase[source]) / len(ids), source, i) for k, i in enumerate(sorted(ids, key=lambda i: number(seed, i)))]
+    return [i for _, _, i in sorted(out)]
+
+
+def test_small_sources_lie_in_all_shards(spark, table):
+    n, shards = 2400, 24
+    sources = ["big"] * n + [f"only{k}" for k in range(n)] + [f"pair{k // 2}" for k in range(n)] + [None] * 7
+    docs = table(["t"] * len(sources), sources=sources)
+    rows = sorted(sharding.interleave(spark, docs, shards=shards).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in rows] == plain_order(list(enumerate(sources)))
+    for kind in ("big", "only", "pair"):
+        own = Counter(r.shard for r in rows if (sources[r.doc_id] or "").startswith(kind))
+        assert all(abs(own[k] - n / shards) <= 2 for k in range(shards))
+
+
 def test_every_shard_has_the_mixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
     per = sharding.op9_sharding(spark, "/root/testdata/sf0.01").join(docs, "doc_id").groupBy("source", "shard").count()
@@ -198,6 +224,138 @@ def test_every_shard_has_the_mixture(spark):
         assert r.n == 24 and r.b - r.a <= 2
 
 
+def test_queries_against_duckdb(spark):
+    import duckdb
+
+    from chronoroll.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name, sql in queries.SQL.items():
+        got, want = queries.QUERIES[name](spark, DATA), con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        names = sorted(got.columns)
+        assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, want.select(*names).fetchall())), name
+
+
+@pytest.mark.parametrize("block", [1, 250_000])
+def test_hot_anchors_are_split_exactly(spark, table, monkeypatch, block):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = text(160), text(120)
+    texts = [text(rng.randrange(0, 40)) + passage + text(rng.randrange(0, 40)) for _ in range(60)]
+    texts += [text(9) + passage[:100] + "x" * rng.randrange(0, 9) + other for _ in range(20)] + [texts[0], texts[3] + texts[3], passage + passage, passage[30:]]
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "WIDTHS", (16, 4, 1) if block > 1 else (5, 1))
+    sizes = []
+    own = suffix_dedup.in_blocks
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda s, n: (sizes.append(s.groupBy("key").count().agg(F.max("count")).first()[0]), own(s, n))[1])
+    out = suffix_dedup.dedup(spark, table(texts)).collect()
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in out} == strip(list(enumerate(texts)))
+    assert len(sizes) > 2 and max(x or 0 for x in sizes) <= 3
+
+
+def test_one_passage_in_thousands_of_surroundings(spark, table, monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = text(300)
+    texts = [text(60) + passage + text(60) for _ in range(3000)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 500)
+    sizes = []
+    own = suffix_dedup.in_blocks
+    monkeypatch.setattr(suffix_dedup, "in_blocks", lambda s, n: (sizes.append(s.groupBy("key").count().agg(F.max("count")).first()[0]), own(s, n))[1])
+    out = suffix_dedup.dedup(spark, table(texts)).collect()
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in out} == strip(list(enumerate(texts)))
+    assert max(x or 0 for x in sizes) <= 500
+
+
+def test_rows_are_documents_whatever_their_ids(spark, table):
+    texts = corpus(7)[:60]
+    ids = [None if k % 9 == 4 else k // 3 for k in range(len(texts))]
+    order = sorted(range(len(texts)), key=lambda k: (ids[k] is None, ids[k] or 0))
+    of = {}  # smallest id of the rows that links reach
+    rank = {k: n for n, k in enumerate(order)}
+    found = classes([(rank[k], texts[k]) for k in range(len(texts))])
+    for k in range(len(texts)):
+        n, first = found[rank[k]]
+        of[k] = (ids[k], n, ids[order[first]])
+    for kind in ("long", "string"):
+        docs = table(texts, ids=ids)
+        want = sorted(of.values(), key=repr)
+        if kind == "string":
+            docs = docs.withColumn("doc_id", F.format_string("k%03d", "doc_id"))
+            docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != "knull", F.col("doc_id")))
+            name = lambda i: None if i is None else f"k{i:03d}"
+            want = sorted(((name(a), n, name(b)) for a, n, b in of.values()), key=repr)
+        assert sorted(map(tuple, shingle_join.join(spark, docs).collect()), key=repr) == want
+        out = suffix_dedup.dedup(spark, docs).collect()
+        assert len(out) == len(texts) and all(s.end <= r.n_bytes for r in out for s in r.removed)
+        assert sum(len(r.kept) for r in out) + sum(s.end - s.start for r in out for s in r.removed) == sum(len((t or "").encode()) for t in texts)
+    long = "".join(chr(97 + k * k % 23) + str(k) for k in range(90))
+    out = suffix_dedup.dedup(spark, table([long, "y" * 50, long, "z" + long], ids=[1, 1, 1, None])).collect()
+    assert sorted((repr(r.doc_id), bytes(r.kept).decode()) for r in out) == [("1", ""), ("1", long), ("1", "y" * 50), ("None", "z")]
+
+
+def test_joins_with_hot_keys(spark):
+    from chronoroll.llm.common import spread_join
+
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")).repartition(4)
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("w")).where("c > 1 OR k % 2 = 0")
+    plain = left.join(right, "k")
+    for rows in (9000, 10**9):  # in the second no key is hot
+        got = spread_join(left, right, ["k"], rows)
+        assert sorted(map(tuple, got.select("k", "v", "c", "w").collect())) == sorted(map(tuple, plain.select("k", "v", "c", "w").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        dealt = spread_join(left, right, ["k"], 9000).withColumn("at", F.spark_partition_id())
+        assert max(r["count"] for r in dealt.where("k = 7").groupBy("at").count().collect()) < 2500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hubs_of_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 0)
+    links = spark.range(1, 400).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(900, 950).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = {r.node: r.comp for r in components.components(links, Stash(spark, "t")).collect()}
+    assert got == {**dict.fromkeys(range(1, 400), 0), **dict.fromkeys(range(901, 951), 900)}
+
+
+def test_frequent_tokens_are_bounded(spark):
+    counts = spark.range(3, 2000).select((F.col("id") * 7919 - 5000).alias("token"), F.col("id").alias("c"))
+    every = shingle_join.frequent_tokens(counts, 2, 10**6)
+    assert len(every) == 1997 and (np.diff(every.astype(object)) > 0).all()
+    some = shingle_join.frequent_tokens(counts, 2, 300)
+    assert 0 < len(some) <= 300 and set(some.view(np.int64).tolist()) == {k * 7919 - 5000 for k in range(2000 - len(some), 2000)}
+    assert len(shingle_join.frequent_tokens(counts.where("false"), 2, 10)) == 0
+
+
+def test_the_bound_never_shuts_a_group_that_holds_a_link():
+    rng = np.random.default_rng(5)
+    shut = 0
+    for _ in range(500):
+        group = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(rng.integers(1, 5))]
+        query = np.unique(np.append(group[0][rng.random(len(group[0])) > 0.15], rng.integers(0, 60, rng.integers(0, 6)).astype(np.uint64)))
+        if len(query):
+            most = shingle_join.largest(query, np.unique(np.concatenate(group)), 80)
+            assert all(len(m) <= most for m in group if shingle_join.similar(query, m, 80))
+            shut += not most
+    assert shut > 20
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from chronoroll.llm.common import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+
+
 def test_extra_columns_do_not_clash(spark, table):
     docs = table(corpus(6)[:40]).withColumn("print", F.lit(1)).withColumn("token", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("start", F.lit(4)).withColumn("id", F.lit("x")).withColumn("n", F.lit(5)).withColumn("score", F.lit(6)).withColumn("slice", F.lit(7))
     for make in (shingle_join.join, suffix_dedup.dedup, sharding.interleave, packing.pack):
@@ -231,6 +389,14 @@ def test_pipeline_by_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "piece", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in kept["best_fit_packing"])
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    docs = corpus_pipeline.documents(spark, DATA).limit(60).selectExpr("*", "'a' AS row", "'b' AS id", "'c' AS whole", "'d' AS kept", "1 AS n", "2 AS score", "3 AS removed", "4 AS uncut")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("row", "id", "whole", "kept", "n").collect()} == {("a", "b", "c", "d", 1)}
+        docs = out
+
+
 def test_pipeline_on_odd_rows(spark, table):
     docs = table(ODD * 2, langs=[None] * (2 * len(ODD)), sources=[None] * (2 * len(ODD)))
     for rows in (docs, table([])):
