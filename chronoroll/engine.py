@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .plans.catalog import Catalog, TableDef
 from .plans.parser import Query, QueryError, parse_query
 from .plans.planner import Planned, Planner, Source
 
+T = TypeVar("T")
+
 
 @dataclass
 class Stream:
@@ -43,6 +46,7 @@ class Engine:
         self.stored: dict[str, Callable[[bool], DataFrame]] = {}
         self.cache_ttl, self._cache = cache_ttl, {}
         self._times: dict[str, int] = {}
+        self._rewrites: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     # Streams.
 
@@ -87,6 +91,13 @@ class Engine:
     def apply_schema(self, text: str) -> list[str]:
         return self.catalog.apply_schema(text)
 
+    def rewrite_rows(self, name: str, rewrite: Callable[[DataFrame], DataFrame] | None) -> None:
+        """What queries read of a table: its rows (``_time``, dimensions, states) as ``rewrite`` leaves them; the stored states stay as they are."""
+        if rewrite is None:
+            self._rewrites.pop(name.lower(), None)
+        else:
+            self._rewrites[name.lower()] = rewrite
+
     # Tables.
 
     def _stream(self, table: TableDef) -> Stream:
@@ -135,14 +146,14 @@ class Engine:
         now = self.clock(name)
         until = ceil_us(now, table.resolution)
         as_of = ceil_us(until - table.retention, table.resolution)
-        within = None
+        within, rewrite = None, self._rewrites.get(name.lower(), lambda df: df)
         if name.lower() in self.stored:
-            df = self.stored[name.lower()](q.fresh or self._fresh)
+            df = rewrite(self.stored[name.lower()](q.fresh or self._fresh))
         else:  # the query's own aggregation merges the states of points: one shuffle, not two
             s = self._stream(table)
 
             def within(span: tuple[int, int] | None) -> DataFrame:
-                return rollup(s.df, table, self.dims, s.ts, s.vals, now, self.array_tail_copies, False, span)
+                return rewrite(rollup(s.df, table, self.dims, s.ts, s.vals, now, self.array_tail_copies, False, span))
 
             df = within(None)
         states = {c for s in table.slots.values() for c in s.columns}
@@ -179,6 +190,10 @@ class Engine:
 
     def collect(self, sql: str, timeout: float | None = None, **options: object) -> list[Row]:
         """A query's rows, or an error once ``timeout`` seconds have gone; its jobs are stopped then."""
+        return self.within(timeout, sql, lambda: self.query(sql, **options).collect())
+
+    def within(self, timeout: float | None, what: str, run: Callable[[], T]) -> T:
+        """``run()``, whose jobs are stopped once ``timeout`` seconds have gone."""
         context, group, fired = self.spark.sparkContext, f"query-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -186,11 +201,11 @@ class Engine:
             context.cancelJobGroup(group)
 
         timer = threading.Timer(timeout, stop) if timeout is not None else None
-        context.setJobGroup(group, sql, interruptOnCancel=True)
+        context.setJobGroup(group, what, interruptOnCancel=True)
         try:
             if timer:
                 timer.start()
-            return self.query(sql, **options).collect()
+            return run()
         except Exception as e:
             if fired.is_set():
                 raise QueryError(f"the query took more than {timeout:g} seconds") from e

@@ -39,11 +39,12 @@ def from_tuples(spark: SparkSession, points: Iterable[tuple[object, dict, dict]]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema), list(vals)
 
 
-def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterable[str], now: str | None = None, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterable[str], now: str | None = None, streaming: bool = False, clean: str | None = None, archive: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Objects {"ts", "dims", "vals"}, one or more a line: accepted points as columns, and what was rejected with a reason.
 
     ``dims``: Spark types by name. A point without ts gets ``now`` (or the current time);
-    one without any dimension or any value is rejected.
+    one without any dimension or any value is rejected. ``clean``: what becomes of a stream's files once they
+    are taken in, ``delete`` or ``archive`` (to the folder ``archive``).
     """
     vals = list(vals)
     schema = T.StructType([
@@ -52,6 +53,9 @@ def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterab
         T.StructField("vals", T.MapType(T.StringType(), T.StringType())),
     ])
     reader = spark.readStream if streaming else spark.read
+    if streaming and clean:
+        reader = reader.option("cleanSource", clean)
+        reader = reader.option("sourceArchiveDir", archive) if archive else reader
     lines = reader.text(path).where(F.length(F.trim("value")) > 0)
     # Objects that follow each other on a line; what is left between them is rejected by itself.
     found, left = F.regexp_extract_all("value", F.lit(OBJECT), F.lit(0)), F.trim(F.regexp_replace("value", OBJECT, " "))
@@ -72,3 +76,9 @@ def read_json(spark: SparkSession, path: str, dims: dict[str, str], vals: Iterab
         *(F.when(number(v).startswith("["), F.from_json(number(v), "array<double>")).when(number(v).isNotNull(), F.array(number(v).try_cast("double"))).alias(v.lower()) for v in vals),
     )
     return good, parsed.where("reason IS NOT NULL").select("value", "reason")
+
+
+def report(good: DataFrame, bad: DataFrame) -> dict:
+    """How many points were taken and rejected, and why."""
+    errors = {r["reason"]: r["count"] for r in bad.groupBy("reason").count().collect()}
+    return {"succeeded": good.count(), "failed": sum(errors.values()), "errors": errors}

@@ -3,13 +3,14 @@ from datetime import datetime, timedelta
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoroll import queries as own
 from chronoroll.engine import Engine
 from chronoroll.functions.dims import from_callable
 from chronoroll.plans.fields import INFINITE
 from chronoroll.plans.parser import QueryError
-from chronoroll.sources.points import read_json
+from chronoroll.sources.points import read_json, report
 from chronoroll.sources.sinks import text_table, write_csv
 from chronoroll.streaming.continuous import ContinuousTable
 from chronoroll.streaming.metrics import Progress
@@ -237,6 +238,41 @@ def test_deadlines_and_kept_results(spark, tmp_path):
         e.kept("../other", str(tmp_path))
 
 
+def test_queries_over_http(spark, tmp_path):
+    import json
+    from urllib.error import HTTPError
+    from urllib.parse import quote
+    from urllib.request import urlopen
+
+    from chronoroll.sources.http_api import serve
+
+    e = own.engine(spark, DATA)
+    server = serve(e, str(tmp_path), most=20_000)
+    get = lambda path: json.load(urlopen(f"http://127.0.0.1:{server.server_port}{path}"))
+    sql = "SELECT value FROM activity GROUP BY event_type, period(24h) ORDER BY _time, event_type LIMIT 5"
+    try:
+        want = [[x.isoformat() if hasattr(x, "isoformat") else x for x in r] for r in e.query(sql).collect()]
+        assert get(f"/run?sql={quote(sql)}") == {"columns": ["_time", "event_type", "value"], "rows": want}
+        name = get(f"/keep?sql={quote(sql)}")["name"]
+        assert sorted(get(f"/kept/{name}")["rows"]) == sorted(want)
+        for path, status in (("/run?sql=SELECT", 400), (f"/run?sql={quote('SELECT value FROM activity')}", 400), ("/kept/none", 400), ("/other", 404)):
+            with pytest.raises(HTTPError) as error:
+                get(path)
+            assert error.value.code == status and "error" in json.load(error.value)
+    finally:
+        server.shutdown()
+
+
+def test_rows_can_be_rewritten_for_queries(spark):
+    e = own.engine(spark, DATA)
+    sql = "SELECT value FROM activity GROUP BY event_type, period(400d) ORDER BY event_type"
+    all_ = {r["event_type"]: r["value"] for r in e.query(sql).collect()}
+    e.rewrite_rows("activity", lambda df: df.where("event_type <> 'view'").withColumn("event_type", F.upper("event_type")))
+    assert {r["event_type"]: r["value"] for r in e.query(sql).collect()} == pytest.approx({k.upper(): v for k, v in all_.items() if k != "view"})
+    e.rewrite_rows("activity", None)
+    assert {r["event_type"]: r["value"] for r in e.query(sql).collect()} == pytest.approx(all_)
+
+
 def follower(spark, tmp_path, sql="SELECT value FROM events GROUP BY event_type, period(1h)", **options):
     e = Engine(spark)
     e.create_table("t", sql, "400d")
@@ -339,6 +375,7 @@ def test_json_points_and_sinks(spark, tmp_path):
     good, bad = read_json(spark, str(tmp_path / "in.json"), {"a": "string", "n": "int"}, ["v"], now="2020-01-01 00:00:20")
     assert sorted(r["reason"] for r in bad.collect()) == ["no dimensions", "no values", "not a point", "not a point"]
     assert sorted(r["a"] for r in good.collect()) == ["w", "x", "y", '}{"{']
+    assert report(good, bad) == {"succeeded": 4, "failed": 4, "errors": {"no dimensions": 1, "no values": 1, "not a point": 2}}
     good = good.where("a IN ('x', 'y')")
     e = Engine(spark)
     e.add_stream("s", good, "ts", ["v"])
