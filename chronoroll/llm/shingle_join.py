@@ -215,11 +215,11 @@ def reach(classes: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
     return out
 
 
-def verify(asked: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int) -> DataFrame:
+def verify(asked: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash, percent: int, report: list | None = None) -> DataFrame:
     """Links (a, b) of the queries and members of groups that the bound opens, as few as connect the same.
 
     ``asked``: query, gid. ``members``: print, n, gid, rep. A group's members, and with them their union, meet its queries in
-    as many tasks as the queries need.
+    as many tasks as the queries need. ``report`` gets the numbers of pairs of a query and a group that were asked, and opened.
     """
     load = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("q"))
     load = stash.put(load.select("gid", F.ceil(F.col("q") / QUERIES).cast("int").alias("parts")))
@@ -244,7 +244,7 @@ def verify(asked: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
             return x
 
         for b in batches:
-            found = []
+            found, tried, opened = [], 0, 0
             for gid, part, role, p, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if (gid, part) != at:
                     at, group, union, roots = (gid, part), [], None, {}
@@ -255,21 +255,27 @@ def verify(asked: DataFrame, members: DataFrame, docs: DataFrame, stash: Stash,
                 if union is None:
                     union = group[0][1] if len(group) == 1 else np.unique(np.concatenate([t for _, t in group]))
                 most = largest(s, union, percent)
+                tried, opened = tried + 1, opened + (most > 0)
                 for other, t in group if most else ():
                     if len(t) <= most and other != p and root(other) != root(p) and similar(s, t, percent):
                         roots[root(p)] = root(other)
                         found.append((p, other))
-            cols = list(zip(*found)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+            rows = [(a, b, None, None) for a, b in found] + [(None, None, tried, opened)]  # the last row tells of the batch
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "asked", "opened"])
 
-    links = stash.put(map_batches(met.select("gid", "part", "role", "print", "tokens"), run, "a long, b long"))
+    links = stash.put(map_batches(met.select("gid", "part", "role", "print", "tokens"), run, "a long, b long, asked long, opened long"))
     stash.drop(sets, load)
     settle(docs.sparkSession)
-    return links
+    if report is not None:
+        report.append(tuple(x or 0 for x in links.agg(F.sum("asked"), F.sum("opened")).first()))
+    return links.where("a IS NOT NULL").select("a", "b")
 
 
-def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id``: the smallest id that links reach."""
+def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", report: list | None = None) -> DataFrame:
+    """``id_col``, ``n_shingles``, ``component_id``: the smallest id that links reach.
+
+    ``report`` gets, per round, how many pairs of a query and a group were asked, and how many of them the bound opened.
+    """
     stash = Stash(spark, "shingles")
     keyed, same = by_row(df.select(id_col, text_col), id_col, text_col, stash)
     docs = keyed.select(F.col("row").alias("id"), "text")
@@ -308,7 +314,7 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     near = matrix.join(pivot, "token").where("gid <> pivot").select(F.col("print").alias("query"), "n", F.col("pivot").alias("gid")).distinct()
     at_home = members.where("c > 1").select(F.col("print").alias("query"), "gid")
     first = stash.put(qualifying(near).unionByName(at_home))
-    links = verify(first, members, docs, stash, percent)
+    links = verify(first, members, docs, stash, percent, report)
     comp = stash.put(components(links, stash))
 
     # Round two: tokens that still join components. For each pair, classes of the smaller side ask.
@@ -329,7 +335,7 @@ def join(spark: SparkSession, df: DataFrame, percent: int = PERCENT, id_col: str
     holds = holds.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
     pairs = asks.withColumn("band", band).join(holds, ["token", "band"]).where("mine < theirs AND (free OR hi IS NULL OR from_n <= hi AND n <= to_n)").select("query", "n", "gid").distinct()
     second = stash.put(qualifying(pairs).join(first, ["query", "gid"], "left_anti"))
-    more = verify(second, members, docs, stash, percent)
+    more = verify(second, members, docs, stash, percent, report)
     whole = components(links.union(more), stash)
 
     named = members.join(whole, members["print"] == whole["node"], "left").select("print", "n", "rep", F.coalesce("comp", "print").alias("comp"))

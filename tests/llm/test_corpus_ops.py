@@ -91,8 +91,11 @@ def test_shingle_join(spark, table, seed, monkeypatch):
         monkeypatch.setattr(shingle_join, "FREQUENT", 3)
         monkeypatch.setattr(shingle_join, "CROWDED", 0.5)
     texts = corpus(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(spark, table(texts)).collect()}
+    report = []
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(spark, table(texts), report=report).collect()}
     assert got == classes(list(enumerate(texts)))
+    (asked, opened), (again, late) = report
+    assert 0 < opened < asked and late <= again
 
 
 def test_shingle_join_on_the_tables_and_on_nothing(spark, table):
