@@ -64,7 +64,8 @@ class Stash:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, new_folder(spark, name), 0
-        self.paths: dict[int, str] = {}
+        #: By identity, with the tables themselves: else the identity of one that is forgotten could become another's.
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         _roots.append(self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -72,12 +73,12 @@ class Stash:
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            path = self.paths.pop(id(df), None)
+            _, path = self.paths.pop(id(df), (None, None))
             if path:
                 remove(self.spark, path)
 

@@ -1,5 +1,6 @@
 """Operators over a whole corpus, against brute force."""
 
+import gc
 import hashlib
 import random
 import re
@@ -348,6 +349,15 @@ def test_the_bound_never_shuts_a_group_that_holds_a_link():
     assert shut > 20
 
 
+def test_only_tables_of_the_stash_are_dropped(spark):
+    stash = Stash(spark, "t")
+    kept = [stash.put(spark.range(k + 1)).where("id >= 0") for k in range(5)]  # the tables themselves are named no more
+    gc.collect()
+    others = [spark.range(1).select("id") for _ in range(300)]
+    stash.drop(*others)
+    assert [df.count() for df in kept] == [1, 2, 3, 4, 5]
+
+
 def test_no_local_folder_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
