@@ -12,7 +12,7 @@ from ..functions.dims import Dimensions
 from ..functions.timegrid import ceil_micros, from_micros, micros
 from ..plans.catalog import TableDef
 from ..plans.fields import POINTS
-from .states import all_of
+from .states import all_of, joined, split
 
 TIME = "_time"
 
@@ -42,9 +42,17 @@ def spread_arrays(df: DataFrame, vals: Iterable[str], tail_copies: int = 1) -> D
 def aggregated(df: DataFrame, keys: list[str], plain: dict[str, str], histograms: list[str]) -> DataFrame:
     """Group by ``keys``, reading ``df`` once. ``plain``: columns and how each is merged; ``histograms``: columns of buckets, or of maps to merge.
 
+    Columns that are merged exactly are summed in two parts.
+
     Histograms are counted per bucket first, so a group is never gathered as a list of points; plain columns are merged
     partially along with them, then by keys alone.
     """
+    rests = {c: f"{c}__rest" for c, kind in plain.items() if kind == "exact"}
+    if rests:
+        parts = {c: split(F.col(c)) for c in rests}
+        df = df.withColumns({c: whole for c, (whole, _) in parts.items()} | {rests[c]: rest for c, (_, rest) in parts.items()})
+        out = aggregated(df, keys, plain | dict.fromkeys([*rests, *rests.values()], "sum"), histograms)
+        return out.withColumns({c: joined(F.col(c), F.col(rest)) for c, rest in rests.items()}).drop(*rests.values())
     how = lambda: [getattr(F, kind)(c).alias(c) for c, kind in plain.items()]
     if not histograms:
         return df.groupBy(*keys).agg(*(how() or [F.count(F.lit(1)).alias("__rows")]))
@@ -112,6 +120,6 @@ def rollup(df: DataFrame, table: TableDef, dims: Dimensions, ts: str, vals: list
 
 def merge(rows: DataFrame, table: TableDef, names: list[str]) -> DataFrame:
     """States merged by label and dimensions: for points as for partial rollups."""
-    plain = {c: slot.how for slot in table.slots.values() if not slot.is_histogram for c in slot.columns}
+    plain = {c: how for slot in table.slots.values() if not slot.is_histogram for c, how in zip(slot.columns, slot.hows)}
     out = aggregated(rows, [TIME, *names], plain, [slot.name for slot in table.slots.values() if slot.is_histogram])
     return out.select(TIME, *(f"`{n}`" for n in names), *(c for s in table.slots.values() for c in s.columns))

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..plans.fields import COMPARE, INFINITE, Agg, Binary, Bounded, Const, Expr, Math, Percentile, Raw, WeightedMean
 from ..plans.parser import QueryError
 
+#: Units to one, in sums: four decimals, as products of two prices have; totals are exact to 2 ** 53 units.
+UNIT = 1e4
+
 
 def combine(op: str, a: Column, b: Column) -> Column:
     """Arithmetic on values that may be unset."""
@@ -81,9 +84,11 @@ class Slot:
         return [F.when(x.isNotNull(), F.lit(1.0)) if self.agg.kind == "COUNT" else x]
 
     @property
-    def how(self) -> str:
-        """How the columns of states are merged; histograms are summed per bucket instead."""
-        return self.agg.kind.lower() if isinstance(self.agg, Agg) and self.agg.kind in ("MIN", "MAX") else "sum"
+    def hows(self) -> list[str]:
+        """How each column of states is merged (``exact``: see ``split``); histograms are summed per bucket instead."""
+        if isinstance(self.agg, WeightedMean):
+            return ["exact" if self.agg.weight else "sum", "exact"]
+        return [self.agg.kind.lower() if isinstance(self.agg, Agg) and self.agg.kind in ("MIN", "MAX") else "sum"]
 
     def read(self, states: list[Column], at: float | None = None) -> Column:
         """The value of a state, null if unset."""
@@ -95,6 +100,21 @@ class Slot:
         return states[0]
 
 
+def split(x: Column) -> tuple[Column, Column]:
+    """A number in units of ``UNIT``, null if too large, and the rest: 0 for numbers of so many decimals.
+
+    Whole numbers add up to the same in any order, so what is at a bound doesn't hang on how rows are dealt.
+    """
+    whole = F.rint(x * UNIT)
+    fits = F.abs(whole) < 2.0**52
+    return F.when(fits, whole), F.when(fits, x - whole / UNIT).otherwise(x)
+
+
+def joined(whole: Column, rest: Column) -> Column:
+    """The total of numbers from the totals of their parts by ``split``."""
+    return rest + F.coalesce(whole, F.lit(0.0)) / UNIT
+
+
 def bucket_of(p: Percentile, x: Column) -> Column:
     """The bucket of a value, named by the largest whole number that falls in it.
 

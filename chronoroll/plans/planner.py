@@ -118,7 +118,7 @@ class Planner:
             if use.slot.is_histogram:
                 histograms += own
             else:
-                plain |= dict.fromkeys(own, use.slot.how)
+                plain |= dict(zip(own, use.slot.hows))
         shaped = df.select(bucket(F.col("__us"), until, res).alias("__b"), *keys.values(), *columns)
         out = aggregated(shaped, ["__b", *keys], plain, histograms)
         steps.append(f"group by {['period', *keys]}")
@@ -255,7 +255,7 @@ class Planner:
             if use.slot.is_histogram:
                 histograms += own
             else:
-                plain |= dict.fromkeys(own, use.slot.how)
+                plain |= dict(zip(own, use.slot.hows))
         return aggregated(df.select("__us", *keys.values(), *columns), ["__us", *keys], plain, histograms)
 
     def _keys(self, g: Grouping, src: Source) -> list[tuple[str, Node]]:

@@ -1,4 +1,6 @@
 from datetime import datetime, timedelta
+from functools import reduce
+from itertools import permutations
 
 import duckdb
 import numpy as np
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoroll import queries as own
 from chronoroll.engine import Engine
 from chronoroll.functions.dims import from_callable
+from chronoroll.operators.rollup import aggregated
 from chronoroll.plans.fields import INFINITE
 from chronoroll.plans.parser import QueryError
 from chronoroll.sources.points import read_json, report
@@ -149,6 +152,36 @@ def test_results_do_not_depend_on_partitions(spark, parts):
     assert sorted(rows(own.rounded(e.query(sql)))) == want
 
 
+#: Prices that add up to 60 and to 50 with all their decimals, and to more as doubles: the first two in some orders, the third in every order.
+AT_60, AT_50 = [(38.84, 12.42, 8.74), (31.76, 26.75, 1.49), (3.49, 32.09, 24.42)], [(45.78, 1.52, 2.7), (10.88, 36.1, 3.02)]
+
+
+def dealt(spark, groups):
+    """A table ``t`` of ``v`` by ``who``: each group's points in all orders, each order by a ``who`` of its own, each point in a partition of its own."""
+    e = Engine(spark)
+    sets = [order for g in groups for order in permutations(g)]
+    e.insert("s", [(E0, {"who": k, "at": at}, {"v": v}) for k, order in enumerate(sets) for at, v in enumerate(order)])
+    s = e.streams["s"]
+    s.df = reduce(lambda a, b: a.unionByName(b), [s.df.where(F.col("at") == at).coalesce(1) for at in range(3)])
+    e.create_table("t", "SELECT v, AVG(v) AS mean, WAVG(v, v) AS own, PERCENTILE(v, 50, 0, 100, 2) AS mid FROM s GROUP BY who, period(1s)")
+    return e, len(sets)
+
+
+@pytest.mark.parametrize("mid", ["", ", mid"])  # with a histogram, sums are merged in two steps
+def test_means_at_a_bound_are_within_it(spark, mid):
+    e, n = dealt(spark, AT_60)
+    assert [r[2] for r in rows(e.query(f"SELECT BOUNDED(mean, 10, 20) AS m{mid} FROM t GROUP BY who"))] == [20.0] * n
+    assert rows(e.query("SELECT mean FROM t GROUP BY who HAVING mean > 20")) == []
+
+
+def test_exact_sums_keep_what_is_no_price(spark):
+    values = [1e300, -1e300, 1e-300, 5e-324, 2.0**60, 1 / 3, -7.123456789, float("inf"), float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    got = {r["k"]: r["v"] for r in aggregated(df, ["k"], {"v": "exact"}, []).collect()}
+    assert all(got[k] == v or v != v and got[k] != got[k] for k, v in enumerate(values))
+    assert aggregated(df.where("k IN (5, 6, 9)"), [], {"v": "exact"}, []).first()["v"] == pytest.approx(1 / 3 - 7.123456789, rel=1e-15)
+
+
 def test_two_steps_equal_one(spark, tmp_path):
     e = own.engine(spark, DATA)
     sql = "SELECT value, mean, p90 FROM full GROUP BY event_type, period(6h)"
