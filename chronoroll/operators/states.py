@@ -88,7 +88,7 @@ class Slot:
         """How each column of states is merged (``exact``: see ``split``); histograms are summed per bucket instead."""
         if isinstance(self.agg, WeightedMean):
             return ["exact" if self.agg.weight else "sum", "exact"]
-        return [self.agg.kind.lower() if isinstance(self.agg, Agg) and self.agg.kind in ("MIN", "MAX") else "sum"]
+        return [{"MIN": "min", "MAX": "max", "SUM": "exact"}.get(self.agg.kind, "sum") if isinstance(self.agg, Agg) else "sum"]
 
     def read(self, states: list[Column], at: float | None = None) -> Column:
         """The value of a state, null if unset."""

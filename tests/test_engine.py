@@ -174,6 +174,14 @@ def test_means_at_a_bound_are_within_it(spark, mid):
     assert rows(e.query("SELECT mean FROM t GROUP BY who HAVING mean > 20")) == []
 
 
+@pytest.mark.parametrize("mid", ["", ", mid"])
+def test_sums_at_a_bound_are_not_beyond_it(spark, mid):
+    e, n = dealt(spark, AT_50)
+    assert [r[2] for r in rows(e.query(f"SELECT v{mid} FROM t GROUP BY who HAVING v >= 50"))] == [50.0] * n
+    for sql in (f"SELECT v{mid} FROM t GROUP BY who HAVING v > 50", "SELECT v FROM t GROUP BY CROSSTAB(who) HAVING v > 600", "SELECT v FROM t GROUP BY who, CROSSTAB(who) HAVING v > 50"):
+        assert rows(e.query(sql)) == []
+
+
 def test_exact_sums_keep_what_is_no_price(spark):
     values = [1e300, -1e300, 1e-300, 5e-324, 2.0**60, 1 / 3, -7.123456789, float("inf"), float("nan"), None]
     df = spark.createDataFrame(list(enumerate(values)), "k int, v double")
